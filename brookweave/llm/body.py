@@ -27,7 +27,7 @@ from .common import LINK, aligned, blocks, cut, records
 #: Share of the smoothed score that comes from the wrapper, and the part of a site's best score a content path reaches.
 SMOOTH, THRESHOLD = 0.6, 0.35
 #: The line model: pages in its sample (bound), buckets of hashed features, passes.
-SAMPLE_PAGES, BUCKETS, PASSES = 3000, 1 << 17, 3
+SAMPLE_PAGES, BUCKETS, PASSES = 2000, 1 << 17, 3
 
 END = re.compile(r"[.!?。！？…:;,、，]")
 WORD = re.compile(r"[^\W\d_]+|\d+")
@@ -205,9 +205,9 @@ class Bodies:
         w = line_model(self.pages, self.good)
         self.weights = pages.sparkSession.sparkContext.broadcast(w)
 
-    def _joined(self, *columns: str) -> DataFrame:
+    def _joined(self, *columns: str, pages: DataFrame | None = None) -> DataFrame:
         own = ["scrape_id", "site", "markdown", "clean_html", *(c for c in columns if c != "site")]
-        p = self.pages.select(*own).withColumnRenamed("site", "_site")
+        p = (self.pages if pages is None else pages).select(*own).withColumnRenamed("site", "_site")
         # the planner broadcasts the paths only below its size limit; beyond it a sort-merge join with skew splitting
         return p.join(self.good, p["_site"].eqNullSafe(self.good["site"]), "left").select(
             *(c if c != "site" else F.col("_site").alias("site") for c in own), "content_paths"
@@ -230,30 +230,36 @@ class Bodies:
 
         return self._joined().drop("site").mapInPandas(run, "scrape_id bigint, line_no int").distinct()
 
-    def texts(self, *columns: str) -> DataFrame:
-        """(scrape_id, body, rest, *columns) of every row: the lines of the main body, and those outside it."""
+    def apply(self, columns: list[str], schema: str, fn, pages: DataFrame | None = None) -> DataFrame:
+        """fn(batch, bodies) -> DataFrame over the rows, where bodies holds the non-blank lines of each main body.
+
+        The text is cut and used in one Python stage, so it does not travel to the JVM and back.
+        """
         weights = self.weights
-        keep = list(columns)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w = weights.value
             for b in batches:
-                body, rest = [], []
+                bodies = [
+                    [x for _, x, out in outside(md, src, good, w) if not out]
+                    for md, src, good in zip(b["markdown"], b["clean_html"], b["content_paths"])
+                ]
+                yield fn(b, bodies)
+
+        return self._joined(*columns, pages=pages).mapInPandas(run, schema)
+
+    def texts(self) -> DataFrame:
+        """(scrape_id, body, removed): every record with its main body only; records without text keep a null body."""
+        weights = self.weights
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            w = weights.value
+            for b in batches:
+                body, n = [], []
                 for md, src, good in zip(b["markdown"], b["clean_html"], b["content_paths"]):
                     drop = {no for no, _, out in outside(md, src, good, w) if out}
-                    ls = md.split("\n")
-                    body.append("\n".join(x for i, x in enumerate(ls, 1) if i not in drop).strip("\n"))
-                    rest.append(len(drop))
-                out = b[["scrape_id", *keep]].copy()
-                out["body"] = body
-                out["removed"] = rest
-                yield out
-
-        joined = self._joined(*keep)
-        kinds = dict(joined.dtypes)
-        schema = ", ".join(["scrape_id bigint", *(f"`{c}` {kinds[c]}" for c in keep), "body string", "removed int"])
-        return joined.mapInPandas(run, schema)
-
-
-def main_bodies(pages: DataFrame, *columns: str) -> DataFrame:
-    return Bodies(pages).texts(*columns)
+                    body.append("\n".join(x for i, x in enumerate(md.split("\n"), 1) if i not in drop).strip("\n"))
+                    n.append(len(drop))
+                yield pd.DataFrame({"scrape_id": b["scrape_id"], "body": body, "removed": n})
+
+        return self._joined().drop("site").mapInPandas(run, "scrape_id bigint, body string, removed int").dropDuplicates(["scrape_id"])
