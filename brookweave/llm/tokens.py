@@ -225,9 +225,9 @@ class Bpe:
         return d.withColumn("_lids", self._long()(F.col("_long")))
 
     def _cold(self, w: Column) -> Column:
-        return F.coalesce(
-            F.get(F.col("_rids"), (F.array_position("_rare", w) - 1).cast("int")), F.get(F.col("_lids"), (F.array_position("_long", w) - 1).cast("int"))
-        )
+        # two references each keep the folds out of this lambda, where the optimizer would repeat them for every word
+        short = F.when(F.size("_rids") > 0, F.get(F.col("_rids"), (F.array_position("_rare", w) - 1).cast("int")))
+        return F.coalesce(short, F.when(F.size("_lids") > 0, F.get(F.col("_lids"), (F.array_position("_long", w) - 1).cast("int"))))
 
     def ids(self) -> Column:
         hot = (lambda s: F.get(self.hot_ids, s)) if self.hot else (lambda s: F.lit(None).cast("array<int>"))
