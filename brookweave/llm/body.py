@@ -27,6 +27,7 @@ from .common import LINK, aligned, blocks, cut, records
 #: Share of the smoothed score that comes from the wrapper, and the part of a site's best score a content path reaches.
 SMOOTH, THRESHOLD = 0.6, 0.35
 #: The line model: pages in its sample (bound), buckets of hashed features, passes.
+BROADCAST_BYTES = 16 << 20
 SAMPLE_PAGES, BUCKETS, PASSES = 2000, 1 << 17, 3
 
 END = re.compile(r"[.!?。！？…:;,、，]")
@@ -202,13 +203,17 @@ class Bodies:
     def __init__(self, pages: DataFrame):
         self.pages = records(pages)
         self.good = cut(content_paths(self.pages))
+        # checked size: the content paths are broadcast up to BROADCAST_BYTES; beyond it a sort-merge join, split by
+        # the engine where a site is skewed
+        size = self.good.agg(F.sum(F.length("site") + F.length(F.array_join("content_paths", " ")) + 64)).first()[0] or 0
+        if size <= BROADCAST_BYTES:
+            self.good = F.broadcast(self.good)
         w = line_model(self.pages, self.good)
         self.weights = pages.sparkSession.sparkContext.broadcast(w)
 
     def _joined(self, *columns: str, pages: DataFrame | None = None) -> DataFrame:
         own = ["scrape_id", "site", "markdown", "clean_html", *(c for c in columns if c != "site")]
         p = (self.pages if pages is None else pages).select(*own).withColumnRenamed("site", "_site")
-        # the planner broadcasts the paths only below its size limit; beyond it a sort-merge join with skew splitting
         return p.join(self.good, p["_site"].eqNullSafe(self.good["site"]), "left").select(
             *(c if c != "site" else F.col("_site").alias("site") for c in own), "content_paths"
         )
