@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LINK, aligned, blocks, cut, records
+from .common import LINK, aligned, blocks, bounded_sample, cut, records
 
 #: Share of the smoothed score that comes from the wrapper, and the part of a site's best score a content path reaches.
 SMOOTH, THRESHOLD = 0.6, 0.35
@@ -190,11 +190,12 @@ def outside(markdown: str, source: str | None, good: list[str] | None, w: np.nda
 
 
 def line_model(pages: DataFrame, good: DataFrame) -> np.ndarray | None:
-    """Fit the line model on SAMPLE_PAGES pages, those with the smallest hashes; the bound holds at every size."""
+    """Fit the line model on about SAMPLE_PAGES pages (at most twice as many), chosen by hash, at every size."""
     wrapped = pages.filter(F.col("clean_html").rlike(r"(?i)<(div|nav|article|aside|section|main|footer|header)\b"))
-    some = wrapped.select("site", "markdown", "clean_html", F.xxhash64("scrape_id").alias("h")).orderBy("h").limit(SAMPLE_PAGES)
-    joined = some.join(good, some["site"].eqNullSafe(good["site"])).orderBy("h").select("markdown", "clean_html", "content_paths")
-    return fit([(r[0], r[1], list(r[2])) for r in joined.collect()])
+    some = bounded_sample(wrapped.select("scrape_id", "site", "markdown", "clean_html"), "scrape_id", SAMPLE_PAGES)
+    some = some.withColumn("h", F.xxhash64("scrape_id"))
+    joined = some.join(good, some["site"].eqNullSafe(good["site"])).select("h", "markdown", "clean_html", "content_paths")
+    return fit([(r[1], r[2], list(r[3])) for r in sorted(joined.collect(), key=lambda r: (r[0], r[1]))])
 
 
 class Bodies:

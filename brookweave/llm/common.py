@@ -37,6 +37,18 @@ def records(df: DataFrame) -> DataFrame:
     return df.filter(F.col("scrape_id").isNotNull() & (F.length("markdown") > 0))
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About `rows` rows, and never more than twice as many, by the key's hash: the same ones whenever it is read.
+
+    Only the row count is gathered; the threshold is applied in the scan, so no text is moved to choose the sample.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    below = int(-(1 << 63) + (1 << 64) * (rows / n))
+    return df.filter(F.xxhash64(key) < F.lit(below)).limit(2 * rows)
+
+
 # ---------------------------------------------------------------- markdown lines
 
 MARK = re.compile(r"^(?:\s*(?:[>*•\-+]|\d{1,3}[.)])\s+|\s*>+)+|^\s*#{1,6}\s+")

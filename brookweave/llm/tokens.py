@@ -19,13 +19,14 @@ import json
 import os
 from functools import cache
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .common import bounded_sample
+
 SAMPLE_ROWS, HOT_WORDS, LONG = 3000, 65_536, 96
 #: Fixed value: the vocabulary's word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -187,7 +188,7 @@ class Bpe:
     def warm(self, docs: DataFrame, text: str = "text") -> Bpe:
         """Encode the frequent words of a bounded sample and keep them as a literal map."""
         key = next(c for c in docs.columns if c != text)
-        some = docs.filter(F.length(text) > 0).orderBy(F.xxhash64(key)).limit(SAMPLE_ROWS)
+        some = bounded_sample(docs, key, SAMPLE_ROWS).filter(F.length(text) > 0)
         count = some.select(F.explode(self.words(F.col(text))).alias("w")).groupBy("w").count()
         top = count.filter(F.octet_length("w") <= LONG).orderBy(F.desc("count"), "w").limit(HOT_WORDS)
         rows = top.repartition(16).select("w", self.fold(F.col("w")).alias("ids")).collect()
