@@ -8,6 +8,7 @@ from urllib.parse import quote, unquote_to_bytes, urljoin, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 #: Networks that no request may go to (first and last address).
 PRIVATE_V4 = (
@@ -87,7 +88,7 @@ def _public(ip: str) -> bool:
     return not any(_number(x) <= n <= _number(y) for x, y in PRIVATE_V4)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def public_ip(ip: pd.Series) -> pd.Series:
     """Whether an address (either version, embedded ones included) is public; null stays null."""
     return ip.map(lambda x: None if x is None else _public(x))
@@ -128,7 +129,7 @@ def encode_path(text: Column) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_percent(text: pd.Series) -> pd.Series:
     """Percent decoding that keeps what is no hex as it is and reads the bytes as UTF-8, lossily."""
     return text.map(lambda x: None if x is None else unquote_to_bytes(x).decode("utf-8", "replace"))
@@ -173,6 +174,6 @@ def join(href: str | None, base: str | None) -> str | None:
     return out if len(out.encode()) <= 2048 else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def absolute(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([join(h, b) for h, b in zip(href, base)])

@@ -238,6 +238,10 @@ class Writer:
                 self._put("\n".join("> " + x for x in self._line(n).split("\n") if x))
             elif n.tag == "hr":
                 continue
+            elif n.tag == "img":
+                holder = Node("p", {}, None)
+                holder.kids.append(n)
+                self._put(self._line(holder))
             elif any(isinstance(k, Node) and (k.tag in ENDS_P or k.tag in BLOCKS or k.tag in ("body", "html")) for k in n.kids):
                 todo.extend(("n", k, pad) for k in reversed(n.kids))
             else:

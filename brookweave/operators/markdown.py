@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 RULE = re.compile(r"^\s*(?:-{3,}|\*{3,}|_{3,})\s*$")
 BADGE = re.compile(r"\[?!\[[^\]]*\]\([^)]*\)(?:\]\([^)]*\))?")
@@ -80,11 +81,11 @@ def clean_readme(md: str | None) -> str | None:
     return "\n".join(out).strip("\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_markdown(md: pd.Series) -> pd.Series:
     return md.map(clean)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def readme(md: pd.Series) -> pd.Series:
     return md.map(clean_readme)

@@ -12,6 +12,7 @@ from urllib.parse import parse_qs, unquote, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.urls import ENGINE_HOSTS
 from .extract import Node, Tree, _flat
@@ -25,7 +26,7 @@ RULES = {
     "mojeek": ({"title"}, {"s"}, "https://www.mojeek.com"),
     "yahoo": ({"compTitle", "title", "h3"}, {"compText"}, "https://search.yahoo.com"),
 }
-SCHEMA = "array<struct<title:string,url:string,snippet:string>>"
+SCHEMA = ArrayType(StructType([StructField(n, StringType()) for n in ("title", "url", "snippet")]))
 
 
 def unwrap(url: str) -> str:

@@ -14,6 +14,7 @@ from shutil import which
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.urls import _public
@@ -38,7 +39,7 @@ def is_pdf_body(html: Column) -> Column:
     return html.startswith("%PDF-")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pdf_text(content: pd.Series) -> pd.Series:
     """The text of PDF bodies by the machine's pdftotext; null where it is missing or fails."""
     tool = which("pdftotext")
@@ -52,7 +53,7 @@ def pdf_text(content: pd.Series) -> pd.Series:
     return content.map(run)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_body(content: pd.Series, content_type: pd.Series) -> pd.Series:
     """Bytes in the charset that the content type names, UTF-8 otherwise, lossily."""
 
