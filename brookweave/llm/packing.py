@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import cut, table
 from .tokens import Bpe
@@ -59,7 +60,7 @@ def hilbert(x: np.ndarray, y: np.ndarray, z: np.ndarray, bits: int = BITS) -> np
     return key
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def hilbert_key(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
     return pd.Series(hilbert(x.to_numpy(), y.to_numpy(), z.to_numpy()))
 
