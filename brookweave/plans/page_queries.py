@@ -209,7 +209,7 @@ QUERIES = {
 }
 
 SQL = {
-    "extract_sample": f"SELECT * FROM (VALUES (1, 'A page', 'about it', {_sql(_SAMPLE_MD)}, 'article', 2, 'https://a.example/i.png'), (2, '', '', '', 'unknown', 0, '')) t(id, title, description, markdown, page_type, n_links, media)",
+    "extract_sample": f"SELECT * FROM (VALUES (1, 'A page', 'about it', {_sql(_SAMPLE_MD)}, 'media', 2, 'https://a.example/i.png'), (2, '', '', '', 'unknown', 0, '')) t(id, title, description, markdown, page_type, n_links, media)",
     "serp_parse": """SELECT * FROM (VALUES ('ddg', 0, 'One', 'https://a.example/x', 'text one'), ('ddg', 1, 'Two', 'https://b.example/', ''), ('bing', 0, 'Bee', 'https://b.example/p', 'about bees'),
  ('ddg-lite', 0, 'See', 'https://c.example/', 'sea text'), ('ddg-lite', 1, 'Dee', 'https://d.example/', ''), ('yahoo', 0, 'Ee', 'https://e.example/q', 'e text')) t(engine, rank, title, url, snippet)""",
     "facts": f"""SELECT * FROM (VALUES ('repo', '# o/r{_NL}stars: 5 | forks: 1 | open issues: ?{_NL}license: MIT{_NL}release: v1 (2024-01-02){_NL}topics: a, b{_NL}pushed: 2024-05-06'),
