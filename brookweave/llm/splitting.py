@@ -28,6 +28,7 @@ from .tokens import Bpe, library
 KINDS = ("claim", "paragraph", "sentence", "word", "token")
 PENALTY = np.array([0.0, 0.6, 2.0, 8.0, 30.0])
 UNEVEN, PIECE = 6.0, 1.0
+STEP = 200
 
 CLAIM = re.compile(r"(?:\r\n|\r|\n)(?=[ \t]*(?:\(?\d{1,3}\s?[.)．、]\s|claim \d|\[?請求項|权利要求))", re.I)
 PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)(?:[ \t]*(?:\r\n|\r|\n))+|(?:\r\n|\r|\n)(?=[ \t]*(?:\[\d{2,5}\]|【))|[\u2028\u2029]+")
@@ -86,29 +87,34 @@ def cuts(pos: np.ndarray, kind: np.ndarray, capacity: int, overlap: int) -> list
     target = (total - overlap) / n
     pay = PENALTY[kind]
     pay[-1] = 0.0
+    # in units of room: the deviation of a piece from the even size is x[j] - x[i] - even
+    x, even = pos / room, target / room
     cost = np.full(len(pos), np.inf)
-    back = np.zeros(len(pos), np.int64)
+    back = [0] * len(pos)
     cost[0] = 0.0
-    low = np.searchsorted(pos, pos - room)
-    first = np.searchsorted(pos, pos - capacity)
+    low = np.searchsorted(pos, pos - room).tolist()
+    fits = int(np.searchsorted(pos, capacity, side="right"))
+    add = (pay + PIECE).tolist()
+    at = (x - even).tolist()
     for j in range(1, len(pos)):
         i = low[j]
-        size = pos[j] - pos[i:j]
-        c = cost[i:j] + UNEVEN * ((size - target) / room) ** 2
-        if i > 0 and first[j] == 0:
+        d = x[i:j] - at[j]
+        c = d * d * UNEVEN + cost[i:j]
+        m = int(c.argmin())
+        least = float(c[m])
+        m += i
+        if i and j < fits:
             # the first piece has no overlap and may use the whole capacity
-            c0 = UNEVEN * ((pos[j] - overlap - target) / room) ** 2
-            m = int(np.argmin(c))
-            if c0 <= c[m]:
-                cost[j], back[j] = c0 + pay[j] + PIECE, 0
-                continue
-        m = int(np.argmin(c))
-        cost[j], back[j] = c[m] + pay[j] + PIECE, i + m
+            c0 = UNEVEN * (at[j] - overlap / room) ** 2
+            if c0 <= least:
+                least, m = c0, 0
+        cost[j] = least + add[j]
+        back[j] = m
     out = []
     j = len(pos) - 1
     while j > 0:
         out.append(j)
-        j = int(back[j])
+        j = back[j]
     return out[::-1]
 
 
@@ -177,12 +183,15 @@ def split(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, path:
                 made.append(library(where))
             return [made[0].decode_single_token_bytes(t) for t in made[0].encode_ordinary(word)]
 
-        for b in batches:
-            out = [
-                (doc, *p)
-                for doc, text, lens, sizes in zip(b["doc_id"], b["text"], b["lens"], b["sizes"])
-                for p in pieces(text, np.asarray(lens, np.int64), np.asarray(sizes, np.int64), limits, encode)
-            ]
-            yield pd.DataFrame(out, columns=["doc_id", "limit_id", "piece_no", "start_token", "end_token", "cut", "text"])
+        for batch in batches:
+            # in small steps, as the pieces of a step hold its texts several times
+            for lo in range(0, len(batch), STEP):
+                b = batch.iloc[lo : lo + STEP]
+                out = [
+                    (doc, *p)
+                    for doc, text, lens, sizes in zip(b["doc_id"], b["text"], b["lens"], b["sizes"])
+                    for p in pieces(text, np.asarray(lens, np.int64), np.asarray(sizes, np.int64), limits, encode)
+                ]
+                yield pd.DataFrame(out, columns=["doc_id", "limit_id", "piece_no", "start_token", "end_token", "cut", "text"])
 
     return d.mapInPandas(run, "doc_id bigint, limit_id int, piece_no int, start_token int, end_token int, cut string, text string")
