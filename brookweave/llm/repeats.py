@@ -31,13 +31,17 @@ SPAN, DENSE = 32_768, 2_048
 NUMBER = re.compile(r"\d+(?:\s?[./:,\-]\s?\d+)*")
 MARKS = re.compile(r"[*_`\"'“”„«»‘’‚>]+")
 LEAD = re.compile(r"^\s*(?:[*_>\"“„«]*\s*)*(?:[-•+]\s+|\d+[.)]\s+)?")
+TARGET = re.compile(r"(\]\([^()\s]*\))")
 TOKEN = re.compile(r"\w+")
 #: Words that introduce an author.
 BY = frozenset("by von par por przez di door av".split())
 
 
 def _norm(text: str) -> str:
-    return " ".join(MARKS.sub(" ", NUMBER.sub("0", text)).lower().split())
+    # numbers are filled in outside link targets only: another target is another line
+    parts = TARGET.split(text)
+    parts[::2] = [MARKS.sub(" ", NUMBER.sub("0", x)) for x in parts[::2]]
+    return " ".join("".join(parts).lower().split())
 
 
 def _hash(text: str) -> int:
