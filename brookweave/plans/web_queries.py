@@ -10,6 +10,7 @@ from ..functions import urls as U
 from ..operators import crawl as C
 from ..operators import search as S
 from ..operators import state as T
+from .text_queries import TERMS
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -173,7 +174,8 @@ def _warning(s, d):
 
 
 def _edges(s, d):
-    """Links between scraped pages of one site, by normalized address; the anchor's words score them."""
+    """A synthetic graph, as no link of the tables leads to another record: record and link position map to 997 nodes,
+    in the SQL alike.  It reads no address and exercises the level loop only; the real links are _site_edges."""
     p = _t(s, d, "scrape_results").filter("scrape_id is not null").select("scrape_id", "site", "links").dropDuplicates(["scrape_id"])
     n = F.pmod(F.col("scrape_id") * 7 + F.col("pos") * 13 + 1, F.lit(997))
     e = p.select("scrape_id", F.posexplode("links").alias("pos", "l"))
@@ -188,6 +190,22 @@ _EDGES_SQL = """p AS (SELECT DISTINCT scrape_id, site, links FROM scrape_results
  l2 AS (SELECT DISTINCT dst AS node, 2 AS depth FROM k JOIN l1 ON k.src = l1.node WHERE dst NOT IN (SELECT node FROM l0 UNION ALL SELECT node FROM l1))"""
 
 
+def _site_edges(s, d):
+    """Links that a crawl may follow, from the normalized address of a record to that of the link's target, each once;
+    a target that is no record is a leaf.  The focus terms in the anchor score a link."""
+    p = _t(s, d, "scrape_results").filter("scrape_id is not null and url is not null").select("scrape_id", "url", "links").dropDuplicates(["scrape_id"])
+    e = p.select("scrape_id", F.col("url").alias("src"), F.posexplode("links").alias("pos", "l"))
+    e = e.select("scrape_id", "src", "pos", U.absolute(F.col("l.href"), F.col("src")).alias("dst"), F.lower(F.coalesce("l.text", F.lit(""))).alias("anchor"))
+    e = C.candidates(e).select(U.normalize(F.col("src")).alias("src"), U.normalize(F.col("dst")).alias("dst"), C.link_score(F.col("anchor"), list(TERMS)).alias("score"), F.struct("scrape_id", "pos").alias("pos"))
+    return e.filter("src <> dst").groupBy("src", "dst").agg(F.max("score").alias("score"), F.min("pos").alias("pos"))
+
+
+def _site_bfs(s, d, depth=2):
+    """(node, depth) from one seed a site, the address of its first record."""
+    p = _t(s, d, "scrape_results").filter("scrape_id is not null and site is not null and url is not null")
+    return C.bfs(_site_edges(s, d), p.groupBy("site").agg(F.min_by("url", "scrape_id").alias("url")).select(U.normalize(F.col("url")).alias("node")), depth)
+
+
 def _bfs(s, d, depth=2):
     e = _edges(s, d)
     return C.bfs(e, e.select(F.min("src").alias("node")), depth)
@@ -254,6 +272,9 @@ QUERIES = {
     "link_graph": lambda s, d: _edges(s, d),
     "crawl_level1": lambda s, d: _bfs(s, d, 1),
     "crawl_bfs": _bfs,
+    "site_link_graph": lambda s, d: _site_edges(s, d).select("src", "dst", "score", "pos.scrape_id", "pos.pos"),
+    "site_crawl_level1": lambda s, d: _site_bfs(s, d, 1),
+    "site_crawl_bfs": _site_bfs,
     "crawl_budget": _budget,
     "sitemap_urls": lambda s, d: C.sitemap_urls(_values(s, SITEMAPS, "host, xml"), "xml", "host"),
     "cache_ttl_hits": lambda s, d: T.cache_hits(_events(s, d), "user_id", "ts", "event_id").select("event_id", "hit"),

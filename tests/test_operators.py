@@ -8,6 +8,7 @@ from brookweave.functions import text as T
 from brookweave.functions import urls as U
 from brookweave.operators import crawl, extract, markdown
 from brookweave.operators import state as batch_state
+from brookweave.plans import registry
 from brookweave.streaming import state as stream_state
 
 TEXTS = st.lists(st.text(alphabet="ab \n`~é日", max_size=60), min_size=1, max_size=8)
@@ -61,6 +62,21 @@ def test_crawl_follows_levels_once(spark):
     assert {tuple(r) for r in crawl.bfs(edges, seeds, 3).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
 
 
+def test_site_crawl_reads_the_addresses(spark, tmp_path):
+    n = 1200  # more pages than the synthetic graph has nodes
+    link = lambda h, t="x": {"href": h, "text": t}
+    pages = [(1, "a.example", "https://A.example/", [link(f"/p{k}") for k in range(11)] + [link("/q#z"), link("/d.pdf"), link("https://b.example/"), link("/late", "Valve list")])]
+    pages += [(2, "a.example", "https://a.example/p3/", [link("deep"), link("/")]), (3, "b.example", "https://b.example/", None), (4, None, None, [link("/n")])]
+    pages += [(k, f"s{k}.example", f"https://s{k}.example/", [link("/one")]) for k in range(10, n)]
+    spark.createDataFrame(pages + pages[:1], "scrape_id bigint, site string, url string, links array<struct<href string, text string>>").write.parquet(f"{tmp_path}/scrape_results.parquet")
+    q = registry.queries()
+    graph = q["site_link_graph"](spark, str(tmp_path)).collect()
+    assert len(graph) == 12 + 2 + n - 10 and ("https://a.example/p3", "https://a.example/p3/deep") in {(r["src"], r["dst"]) for r in graph}
+    found = {r["node"]: r["depth"] for r in q["site_crawl_bfs"](spark, str(tmp_path)).collect() if "//a." in r["node"]}
+    assert found == {"https://a.example": 0, "https://a.example/late": 1, **{f"https://a.example/p{k}": 1 for k in range(9)}, "https://a.example/p3/deep": 2}
+    assert q["site_crawl_level1"](spark, str(tmp_path)).count() == 1 + 1 + 10 + 2 * (n - 10)
+
+
 def test_streamed_pacing_is_the_batch_one(spark, tmp_path):
     rows = [("a", 1, 0), ("a", 2, 300), ("b", 3, 100), ("a", 4, 5000), ("b", 5, 900)]
     src = str(tmp_path / "in")
