@@ -1,15 +1,19 @@
 """Problem 2: near-duplicate records, by a binary-trie self-join over bit fingerprints.
 
 Each main body becomes the set of its distinct runs of three words, 64-bit hashed.  Records with the same set are one
-class and only its representative (the smallest ``scrape_id``) is compared.  A representative has a fingerprint of 128
-one-bit min-hashes: two sets of Jaccard similarity J differ in 128 * (1 - J) / 2 bits on average, so a Hamming budget
-takes in all pairs worth checking.  The fingerprints form a binary trie that is joined with itself: node pairs are
-traversed together, differing bits are added up, and a pair is left as soon as the budget is exceeded.
+class that is compared once and named by its smallest ``scrape_id``.
 
-One trie over everything would not prune near its root (with 22 expected differences in 128 bits no prefix shorter than
-the budget excludes a pair), so the trie is cut by min-hash bands: records that agree in one of BANDS bands share a
-sub-trie.  A sub-trie with more than BLOCK records is joined block by block in separate tasks, all blocks with all.
-Pairs within the budget are checked exactly.
+Candidates are complete: the runs of a set are ordered by the number of classes that hold them, the rarest first, and two
+sets of n and m runs at the wanted similarity share one of their first n - ceil(0.6 n) + 1 and m - ceil(0.6 m) + 1 runs.
+Classes that share such a run form a sub-trie; runs of a single class count in the prefix and meet nobody.  A class has
+a fingerprint of 512 bits, each the parity of the runs that fall on it, so two fingerprints differ in no more bits than
+their sets in runs.  The first 128 bits form a binary trie per sub-trie that is joined with itself: node pairs are
+traversed together, differing bits are added up, and a pair is left as soon as they exceed a quarter of the runs of both,
+the most that the similarity allows.  The other bits, sizes and the places of the shared run bound the overlap further,
+exactly too.
+
+A sub-trie with more than BLOCK classes is joined block by block in separate tasks, all blocks with all.  Pairs within
+the bounds are checked on the whole sets.
 
 Defined cases: null or empty markdown and bodies under MIN_WORDS words have no pairs; repeated deliveries of a
 scrape_id count once; equal bodies are pairs; ties in similarity cannot matter as every pair is listed on its own.
@@ -22,19 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .body import Bodies
 from .common import cut
 
 RUN, SIMILARITY, MIN_WORDS = 3, 0.6, 50
-BANDS, ROWS, BITS, BUDGET = 32, 5, 128, 38
+BITS, FINGERPRINT = 128, 512
 BLOCK, LEAF = 4096, 48
 
 WORDS = re.compile(r"[^\W_]+")
-_SEED = np.random.RandomState(20240601)
-A = (_SEED.randint(1, 1 << 31, BANDS * ROWS).astype(np.uint64) << np.uint64(31) | _SEED.randint(0, 1 << 31, BANDS * ROWS).astype(np.uint64)) * np.uint64(2) + np.uint64(1)
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -67,36 +69,43 @@ class Shingles:
         return len(words), np.unique(mix(mix(h[:-2] * P1 + h[1:-1] * P2) + h[2:] * P3))
 
 
-def signature(runs: np.ndarray) -> tuple[list[int], int, int, int]:
-    """(band keys, high and low half of the fingerprint, hash of the whole set)."""
+def signature(runs: np.ndarray) -> tuple[bytes, int]:
+    """(fingerprint, hash of the whole set)."""
     with np.errstate(over="ignore"):
-        low = np.concatenate([(mix(runs[None, :] * A[k : k + 32, None]) >> np.uint64(16)).min(axis=1) for k in range(0, len(A), 32)])
-        keys = mix((low.reshape(BANDS, ROWS) * np.array([P1, P2, P3, P1 ^ P2, P2 ^ P3])).sum(axis=1, dtype=np.uint64))
-        bits = (low[:BITS] & np.uint64(1)).astype(np.uint8)
-        halves = np.packbits(bits).view(">i8")
+        bits = np.bincount((runs >> np.uint64(55)).astype(np.int64), minlength=FINGERPRINT) & 1
         whole = mix(runs).sum(dtype=np.uint64) ^ mix(runs * P3).sum(dtype=np.uint64) * P1
-    return keys.view(np.int64).tolist(), int(halves[0]), int(halves[1]), int(np.int64(whole.astype(np.int64)))
+    return np.packbits(bits.astype(np.uint8)).tobytes(), int(np.int64(whole.astype(np.int64)))
+
+
+def prefix(n: Column) -> Column:
+    """How many runs of a set of n two similar sets may go without a common one, and one more."""
+    return n - F.ceil(n * 3 / F.lit(5)).cast("int") + 1
 
 
 def _signatures(batch: pd.DataFrame, bodies: list[list[str]]) -> pd.DataFrame:
-    make, rows = Shingles(), []
+    """The runs are given once for equal sets of a batch."""
+    make, rows, seen = Shingles(), [], set()
     with np.errstate(over="ignore"):
         for sid, lines in zip(batch["scrape_id"], bodies):
             n, runs = make("\n".join(lines))
             if len(runs):
-                rows.append((sid, n, len(runs), *signature(runs)))
-    return pd.DataFrame(rows, columns=["scrape_id", "n_words", "n_runs", "bands", "hi", "lo", "whole"])
+                bits, whole = signature(runs)
+                rows.append((sid, n, len(runs), None if whole in seen else runs.view(np.int64), bits, whole))
+                seen.add(whole)
+    return pd.DataFrame(rows, columns=["scrape_id", "n_words", "n_runs", "runs", "bits", "whole"])
 
 
 # ---------------------------------------------------------------- the trie
 
 
-def trie_join(hi: np.ndarray, lo: np.ndarray, side: np.ndarray | None = None, budget: int = BUDGET) -> list[tuple[int, int]]:
+def trie_join(hi: np.ndarray, lo: np.ndarray, side: np.ndarray | None = None, budget: int = BITS, bound=None) -> list[tuple[int, int]]:
     """Index pairs of fingerprints within the Hamming budget; with sides, only pairs of different sides.
 
+    bound(x, y, differing bits) tells which of the index pairs to keep.
+
     A node is a range of the sorted fingerprints at a depth.  Ranges of up to LEAF entries are compared directly.
     """
-    order = np.lexsort((lo, hi))
+    order = np.lexsort((lo.view(np.uint64), hi.view(np.uint64)))
     bits = np.unpackbits(np.stack([hi[order], lo[order]], 1).astype(">i8").view(np.uint8).reshape(len(order), 16), axis=1)
     h, w = hi[order].view(np.uint64), lo[order].view(np.uint64)
     s = None if side is None else side[order]
@@ -112,9 +121,14 @@ def trie_join(hi: np.ndarray, lo: np.ndarray, side: np.ndarray | None = None, bu
             near = d <= budget
             if s is not None:
                 near &= s[a0:a1, None] != s[None, b0:b1]
-            for i, j in zip(*np.nonzero(near)):
-                if a0 + i < b0 + j:
-                    out.append((int(order[a0 + i]), int(order[b0 + j])))
+            i, j = np.nonzero(near)
+            once = a0 + i < b0 + j
+            i, j = i[once], j[once]
+            x, y = order[a0 + i], order[b0 + j]
+            if bound is not None:
+                good = bound(x, y, d[i, j])
+                x, y = x[good], y[good]
+            out.extend(zip(x.tolist(), y.tolist()))
             continue
         am = a0 + int(np.searchsorted(bits[a0:a1, depth], 1))
         bm = b0 + int(np.searchsorted(bits[b0:b1, depth], 1))
@@ -135,11 +149,25 @@ def _join_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(df):
             g = df["grp"].to_numpy()
             edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
-            ids, hi, lo = (df[c].to_numpy() for c in ("scrape_id", "hi", "lo"))
+            ids, size, left = (df[c].to_numpy() for c in ("whole", "n_runs", "left"))
+            bits = np.frombuffer(b"".join(df["bits"]), ">u8").astype(np.uint64).reshape(len(df), -1)
+            hi, lo = bits[:, 0].view(np.int64), bits[:, 1].view(np.int64)
             side, two = df["side"].to_numpy(), df["two"].to_numpy()
             for a, b in zip(edges[:-1], edges[1:]):
                 if b - a > 1:
-                    for i, j in trie_join(hi[a:b], lo[a:b], side[a:b] if two[a] else None):
+                    n, r, f = size[a:b].astype(np.int64), left[a:b].astype(np.int64), bits[a:b]
+
+                    def bound(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> np.ndarray:
+                        # of n + m runs at most a quarter differ, so three eighths of n + m are common
+                        both = n[x] + n[y]
+                        good = 8 * np.minimum(np.minimum(r[x], r[y]), (both - d) // 2) >= 3 * both
+                        at = np.flatnonzero(good)
+                        d = np.bitwise_count(f[x[at]] ^ f[y[at]]).sum(axis=1, dtype=np.int64)
+                        good[at] = 4 * d <= both[at]
+                        return good
+
+                    budget = min(BITS, int(n.max()) // 2)
+                    for i, j in trie_join(hi[a:b], lo[a:b], side[a:b] if two[a] else None, budget, bound):
                         x, y = int(ids[a + i]), int(ids[a + j])
                         found.append((min(x, y), max(x, y)))
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
@@ -160,29 +188,32 @@ class NearDuplicates:
         self.bodies = Bodies(pages)
         self.signatures = cut(
             self.bodies.apply(
-                [], "scrape_id bigint, n_words int, n_runs int, bands array<bigint>, hi bigint, lo bigint, whole bigint", _signatures
+                [], "scrape_id bigint, n_words int, n_runs int, runs array<bigint>, bits binary, whole bigint", _signatures
             )
         )
         s = self.signatures
         self.classes = s.groupBy("whole", "n_runs").agg(
-            F.min("scrape_id").alias("rep"), F.max("scrape_id").alias("last"), F.min(F.struct("scrape_id", "bands", "hi", "lo")).alias("s")
+            F.min("scrape_id").alias("rep"), F.max("scrape_id").alias("last"), F.first("bits").alias("bits")
         )
         self.members = s.select("scrape_id", "whole", "n_runs").distinct().join(
             self.classes.filter("rep <> last").select("whole", "n_runs", "rep"), ["whole", "n_runs"]
         ).select("scrape_id", "rep")
 
     def candidates(self) -> DataFrame:
-        """(a, b), a < b: representatives that share a sub-trie and differ in at most BUDGET bits."""
-        rows = self.classes.select(
-            F.col("rep").alias("scrape_id"), F.posexplode("s.bands").alias("band", "key"), F.col("s.hi").alias("hi"), F.col("s.lo").alias("lo")
-        )
-        size = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rows = rows.join(size, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        own = F.pmod(F.xxhash64("scrape_id"), F.col("blocks")).cast("int")
+        """(a, b), a < b by the hash of the set: all pairs of classes that may be similar."""
+        held = self.signatures.filter("runs is not null").select("whole", F.explode("runs").alias("run")).repartition("run").dropDuplicates(["run", "whole"])
+        held = held.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run"))).filter("n > 1")
+        shared = held.groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("n", "run"))).alias("t"))
+        c = shared.join(self.classes.select("whole", "n_runs", "bits"), "whole")
+        alone = F.col("n_runs") - F.size("t")
+        first = F.slice("t", F.lit(1), F.greatest(prefix(F.col("n_runs")) - alone, F.lit(0)))
+        rows = c.select("whole", "n_runs", "bits", F.size("t").alias("k"), F.posexplode(first).alias("i", "x"))
+        rows = rows.withColumn("left", F.col("k") - F.col("i")).withColumn("run", F.col("x.run")).withColumn("blocks", F.ceil(F.col("x.n") / BLOCK).cast("int"))
+        own = F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int")
         rows = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         first, second = F.least("side", "other"), F.greatest("side", "other")
         rows = rows.select(
-            F.xxhash64("band", "key", first, second).alias("grp"), "scrape_id", "hi", "lo", "side", (F.col("side") != F.col("other")).alias("two")
+            F.xxhash64("run", first, second).alias("grp"), "whole", "n_runs", "left", "bits", "side", (F.col("side") != F.col("other")).alias("two")
         )
         # rows of a two-sided group carry two = true, and a block's own group two = false
         return (
@@ -193,21 +224,14 @@ class NearDuplicates:
     def links(self) -> DataFrame:
         """(a, b, similarity) of the representatives that are similar enough, checked on the whole sets."""
         pairs = cut(self.candidates())
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("scrape_id")).distinct()
-        pages = self.bodies.pages.join(wanted, "scrape_id", "left_semi")
-
-        def runs(batch: pd.DataFrame, bodies: list[list[str]]) -> pd.DataFrame:
-            make = Shingles()
-            with np.errstate(over="ignore"):
-                sets = [make("\n".join(x))[1].view(np.int64) for x in bodies]
-            return pd.DataFrame({"scrape_id": batch["scrape_id"], "runs": sets})
-
-        sets = self.bodies.apply([], "scrape_id bigint, runs array<bigint>", runs, pages=pages).dropDuplicates(["scrape_id"])
-        both = pairs.join(sets.select(F.col("scrape_id").alias("a"), F.col("runs").alias("ra")), "a").join(
-            sets.select(F.col("scrape_id").alias("b"), F.col("runs").alias("rb")), "b"
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct()
+        sets = self.signatures.filter("runs is not null").select("whole", "runs").join(wanted, "whole", "left_semi").dropDuplicates(["whole"])
+        sets = sets.join(self.classes.select("whole", "rep"), "whole")
+        both = pairs.join(sets.select(F.col("whole").alias("a"), F.col("runs").alias("ra"), F.col("rep").alias("x")), "a").join(
+            sets.select(F.col("whole").alias("b"), F.col("runs").alias("rb"), F.col("rep").alias("y")), "b"
         )
         common = F.size(F.array_intersect("ra", "rb"))
-        return both.select("a", "b", (common / (F.size("ra") + F.size("rb") - common)).alias("similarity")).filter(
+        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (common / (F.size("ra") + F.size("rb") - common)).alias("similarity")).filter(
             F.col("similarity") >= SIMILARITY - 1e-12
         )
 

@@ -92,6 +92,29 @@ def test_near_duplicates_are_the_brute_force_ones(spark):
     assert nd.groups().count() == len(classes)
 
 
+def test_trie_join_sorts_by_unsigned_bits():
+    r = np.random.RandomState(2)
+    both = r.randint(-(2**62), 2**62, (400, 2))
+    both = np.concatenate([both, both ^ 5]) * 2
+    hi, lo = both[:, 0].copy(), both[:, 1].copy()
+    assert {(min(p), max(p)) for p in neardup.trie_join(hi, lo, budget=6)} == {(k, k + 400) for k in range(400)}
+
+
+def test_no_near_duplicate_at_the_threshold_is_lost(spark):
+    # pairs at a similarity of exactly 0.6 and just above: 150 of 200 runs common, the others new
+    texts = []
+    for k in range(400):
+        t = [f"w{k}x{i}" for i in range(202)]
+        texts += [t, t[: 152 + k % 3] + [f"v{k}x{i}" for i in range(50 - k % 3)]]
+    texts += [[*texts[0], "end"], texts[0]]
+    df = spark.createDataFrame(rows(*((i, "a.example", "t", " ".join(t), None) for i, t in enumerate(texts))), PAGE_SCHEMA)
+    got = {tuple(r) for r in neardup.NearDuplicates(df).pairs().collect()}
+    sets = [frozenset(zip(t, t[1:], t[2:])) for t in texts]
+    near = [(i, i + 1) for i in range(0, 800, 2)] + [(i, j) for i in (0, 1, 800, 801) for j in (800, 801) if i < j]
+    want = {(i, j) for i, j in near if 5 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])}
+    assert len(want) >= 400 and got == want
+
+
 # ---------------------------------------------------------------- repeated lines
 
 
