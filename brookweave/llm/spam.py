@@ -1,12 +1,14 @@
 """Problem 5: keyword-stuffed pages and link lists.
 
-The text of a page is compressed in blocks; the ratio is set against the median ratio of all pages of the same language
-and length class, so that short pages and two-byte scripts are not mistaken.  Extreme redundancy flags a page, and low
-sentence density confirms it together with the words that dominate its lines.  Pages of bare links or tags compress
-badly (every address differs); they are found by links without explaining sentences and by tag density.
+The text of a page is compressed in blocks; the ratio is set against that of running text of the same language and
+length class, so that short pages and two-byte scripts are not mistaken.  The expected ratio is the median over distinct
+bodies that are dense in sentences, so suspected pages and copies do not set what they are measured by.  Redundancy
+beyond EXTREME flags a page, and low sentence density confirms it together with the words that dominate its lines.
+Addresses are taken out before compression, so pages of bare links or tags show little redundancy; they are found by
+links without explaining sentences and by tag density.
 
-Defined cases: null or empty markdown is no case; one ordinary sentence at the start is set aside first; a group
-without a median (no other page) takes the median of its length class.
+Defined cases: null or empty markdown is no case; one ordinary sentence at the start is set aside first; a class with
+under PEERS such bodies takes the median of its length over all languages, and without PEERS there the fixed CURVE.
 """
 
 from __future__ import annotations
@@ -17,27 +19,44 @@ from pyspark.sql import functions as F
 from .pagestats import page_stats
 
 
+#: A page is redundant below this share of the expected ratio; a median needs so many bodies of so many sentences in
+#: 100 words, and of so large a share of characters in sentences.
+EXTREME, PEERS, DENSE, PROSE = 0.9, 20, 7.8, 0.8
+#: The ratio of running text by the binary order of its bytes; the last one holds for all longer texts.
+CURVE = {5: 1.1, 6: 0.95, 7: 0.76, 8: 0.62, 9: 0.54, 10: 0.52}
+
+
+def _density() -> Column:
+    return 100.0 * F.col("n_sentences_rest") / F.greatest(F.col("content_words"), F.lit(1))
+
+
 def with_expected(stats: DataFrame) -> DataFrame:
-    """stats with expected, the median block-wise ratio of pages of its language and length class."""
+    """stats with expected, the block-wise ratio of running text of the page's language and length class."""
     s = stats.withColumn("size_class", F.floor(F.log2(F.col("packed_bytes") + 1)).cast("int"))
-    by_both = s.filter("lang <> ''").groupBy("lang", "size_class").agg(F.percentile_approx("packed", 0.5, 1000).alias("m2"), F.count(F.lit(1)).alias("n2"))
-    by_size = s.groupBy("size_class").agg(F.percentile_approx("packed", 0.5, 1000).alias("m1"))
+    share = F.col("prose_chars") / F.greatest(F.col("prose_chars") + F.col("item_chars"), F.lit(1))
+    one = s.filter((_density() >= DENSE) & (share >= PROSE)).groupBy("line_key").agg(F.min(F.struct("scrape_id", "lang", "size_class", "packed")).alias("p"))
+    one = one.select("p.lang", "p.size_class", "p.packed")
+    middle, enough = F.percentile_approx("packed", 0.5, 1000), F.count(F.lit(1)) >= PEERS
+    by_both = one.filter("lang <> ''").groupBy("lang", "size_class").agg(F.when(enough, middle).alias("m2"))
+    by_size = one.groupBy("size_class").agg(F.when(enough, middle).alias("m1"))
+    low, high = min(CURVE), max(CURVE)
+    curve = F.element_at(F.create_map(*(F.lit(x) for kv in CURVE.items() for x in kv)), F.greatest(F.lit(low), F.least(F.lit(high), F.col("size_class"))))
     # both tables have at most a few hundred rows: languages times binary orders of magnitude
     return (
         s.join(F.broadcast(by_both), ["lang", "size_class"], "left").join(F.broadcast(by_size), "size_class", "left")
-        .withColumn("expected", F.when(F.col("n2") >= 20, F.col("m2")).otherwise(F.col("m1"))).drop("m1", "m2", "n2")
+        .withColumn("expected", F.coalesce("m2", "m1", curve)).drop("m1", "m2")
     )
 
 
 def is_spam() -> Column:
-    density = 100.0 * F.col("n_sentences_rest") / F.greatest(F.col("content_words"), F.lit(1))
+    density = _density()
     code = F.col("code_ratio") > 0.035
     enough = F.col("content_words") >= 12
-    redundant = F.col("packed") < 0.97 * F.col("expected")
+    redundant = F.col("packed") < EXTREME * F.col("expected")
     listed = (density < 2) & enough & ~code & redundant & (
         (F.col("repetition") >= 0.64) | ((F.col("line_share") >= 0.85) & (F.col("segments") >= 4) & (F.col("repetition") >= 0.28))
     )
-    stuffed = (density >= 2) & (density < 7.8) & enough & ~code & redundant & (F.col("dominance") >= 0.3) & (F.col("repetition") >= 0.45)
+    stuffed = (density >= 2) & (density < DENSE) & enough & ~code & redundant & (F.col("dominance") >= 0.3) & (F.col("repetition") >= 0.45)
     links = (F.col("n_links") >= 4) & (F.col("linked_lines") >= 0.7 * F.col("n_lines_rest")) & (F.col("explained") <= 0.3 * F.col("linked_lines"))
     tags = (F.col("tags") >= 5) & (F.col("tags") >= 0.6 * F.col("tokens"))
     return listed | stuffed | links | tags

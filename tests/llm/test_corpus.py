@@ -199,6 +199,15 @@ def test_page_rules(spark):
     assert not got[0]["lst"] and got[1]["lst"] and not got[4]["lst"] and not got[10]["lst"]
 
 
+def test_copies_of_spam_do_not_set_what_spam_is_measured_by(spark):
+    rnd = random.Random(7)
+    words = "stone river garden lamp winter letter travel music window paper bridge forest market silver cotton".split()
+    prose = [("Story", "\n".join(" ".join(rnd.choice(words) for _ in range(8)).capitalize() + "." for _ in range(16))) for _ in range(25)]
+    spam_page = ("Stuffed", "cheap lamp, best lamp, buy lamp, lamp sale, top lamp, lamp online\n" * 13)
+    got = judge(spark, prose + [spam_page] * 40)
+    assert [i for i in got if got[i]["spam"]] == list(range(25, 65))
+
+
 # ---------------------------------------------------------------- tokens, packing, splitting
 
 DOC_SCHEMA = "doc_id bigint, text string, w string"
