@@ -68,12 +68,13 @@ def _links(s, d):
     return e.filter("href is not null").withColumn("r", first).filter("r = 1").drop("r")
 
 
-def _links_filtered(s, d):
+def _links_filtered(s, d, most=5):
+    """At most `most` matching links of a page; the SQL holds the first 5, page_links_matching the reference's 100."""
     e = _links(s, d)
     good = F.contains(F.lower("href"), F.lit("an")) | F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("an"))
     w = Window.partitionBy("scrape_id").orderBy("pos")
     text = F.when(F.coalesce("text", F.lit("")) == "", F.lit("(no text)")).otherwise(F.substring("text", 1, 100))
-    return e.filter(good).withColumn("r", F.row_number().over(w)).filter("r <= 5").select("scrape_id", "pos", "href", text.alias("text"))
+    return e.filter(good).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).select("scrape_id", "pos", "href", text.alias("text"))
 
 
 _LINKS_SQL = """p AS (SELECT DISTINCT scrape_id, links FROM scrape_results WHERE links IS NOT NULL),
@@ -258,6 +259,7 @@ QUERIES = {
     "demoted_junk": lambda s, d: _values(s, "(1, 'https://www.facebook.com/x'), (2, 'https://a.example/'), (3, 'https://duckduckgo.com/y.js?ad'), (4, 'https://search.yahoo.com/x'), (5, 'nourl')", "id, url").select("id", S.demoted(F.col("url")).alias("demoted"), U.junk(F.col("url")).alias("junk")),
     "page_links": _links,
     "page_links_filtered": _links_filtered,
+    "page_links_matching": lambda s, d: _links_filtered(s, d, 100),
     "visible_script_len": lambda s, d: _lens(s, d).select("scrape_id", "vis", "scr"),
     "block_reason": _block,
     "serp_status": lambda s, d: _values(s, SERPS, "id, engine, status, html, n").select("id", P.serp_status(F.col("engine"), F.col("status"), F.col("html"), F.col("n")).alias("line")),
@@ -305,6 +307,7 @@ SQL = {
     "demoted_junk": "SELECT * FROM (VALUES (1, true, false), (2, false, false), (3, false, true), (4, false, true), (5, false, true)) t(id, demoted, junk)",
     "page_links": f"WITH {_LINKS_SQL} SELECT * FROM l",
     "page_links_filtered": f"WITH {_LINKS_SQL} SELECT scrape_id, pos, href, CASE WHEN coalesce(text, '') = '' THEN '(no text)' ELSE substring(text, 1, 100) END AS text FROM (SELECT *, row_number() OVER (PARTITION BY scrape_id ORDER BY pos) AS r FROM l WHERE contains(lower(href), 'an') OR contains(lower(coalesce(text, '')), 'an')) WHERE r <= 5",
+    "page_links_matching": f"WITH {_LINKS_SQL} SELECT scrape_id, pos, href, CASE WHEN coalesce(text, '') = '' THEN '(no text)' ELSE substring(text, 1, 100) END AS text FROM (SELECT *, row_number() OVER (PARTITION BY scrape_id ORDER BY pos) AS r FROM l WHERE contains(lower(href), 'an') OR contains(lower(coalesce(text, '')), 'an')) WHERE r <= 100",
     "visible_script_len": f"WITH {_LENS_SQL} SELECT scrape_id, vis, scr FROM v",
     "block_reason": "SELECT * FROM (VALUES (1, 'status:403'), (2, 'tiny body'), (3, 'marker:just a moment'), (4, NULL), (5, 'script shell'), (6, 'status:429'), (7, 'marker:px-captcha')) t(id, reason)",
     "serp_status": "SELECT * FROM (VALUES (1, 'ddg:ok:5'), (2, 'bing:blocked:429'), (3, 'ddg:blocked:anomaly'), (4, 'yahoo:timeout'), (5, 'brave:error:500'), (6, 'mojeek:empty'), (7, 'bing:blocked:202')) t(id, line)",

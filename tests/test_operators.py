@@ -77,6 +77,14 @@ def test_site_crawl_reads_the_addresses(spark, tmp_path):
     assert q["site_crawl_level1"](spark, str(tmp_path)).count() == 1 + 1 + 10 + 2 * (n - 10)
 
 
+def test_matching_links_up_to_a_hundred(spark, tmp_path):
+    pages = [(1, [{"href": f"/an{k}", "text": None} for k in range(104)] + [{"href": "/an3", "text": "x"}]), (2, [{"href": "/b", "text": "Many"}, {"href": "/c", "text": "x"}]), (3, None)]
+    df = spark.createDataFrame(pages, "scrape_id bigint, links array<struct<href string, text string>>").withColumn("url", F.lit("https://a.example/"))
+    df.write.parquet(f"{tmp_path}/scrape_results.parquet")
+    got = {(r["scrape_id"], r["pos"]) for r in registry.queries()["page_links_matching"](spark, str(tmp_path)).collect()}
+    assert got == {(1, k) for k in range(100)} | {(2, 0)}
+
+
 def test_streamed_pacing_is_the_batch_one(spark, tmp_path):
     rows = [("a", 1, 0), ("a", 2, 300), ("b", 3, 100), ("a", 4, 5000), ("b", 5, 900)]
     src = str(tmp_path / "in")
