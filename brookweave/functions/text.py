@@ -1,7 +1,8 @@
-"""Text expressions: paragraphs, cutting, fences, terms.  All stay in the JVM."""
+"""Text expressions: paragraphs, cutting, fences, terms.  All but the walk over pages stay in the JVM."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +36,32 @@ def truncate(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).when(good, kept).otherwise(head)
 
 
+def _pages(text: str, limit: int) -> list[tuple[int, int]]:
+    out, at = [], 0
+    while True:
+        head = text[at : at + limit]
+        if len(text) - at > limit:
+            cut = head.rfind("\n\n")
+            if cut > 0 and len(head[:cut].encode()) * 2 > len(head.encode()):
+                head = head[:cut]
+        out.append((at, len(head)))
+        at += len(head)
+        if at >= len(text):
+            return out
+
+
+def walk(text: Column, limit: int) -> Column:
+    """array of struct(offset, length): every page that truncate gives until the end; one pass over the text in Python,
+    as a fold that takes substrings from the front in the JVM is quadratic."""
+    limit = max(1, limit)
+
+    @F.pandas_udf("array<struct<offset: bigint, length: bigint>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [{"offset": a, "length": n} for a, n in _pages(t, limit)])
+
+    return run(text)
+
+
 def _fence_step(state: Column, line: Column) -> Column:
     """One line of the fence machine: state is struct(ch, len), '' while no fence is open."""
     trimmed = F.ltrim(line)

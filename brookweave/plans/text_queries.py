@@ -69,7 +69,15 @@ def _page_cut(s, d, limit=600):
     return q.select("doc_id", "piece", nxt.alias("next_offset"))
 
 
+def _page_walk_all(s, d, limit=600):
+    """Every page of a text to its end; next_offset is null on the last one."""
+    q = _doubled(s, d).select("doc_id", F.length("text").alias("n"), F.posexplode(T.walk(F.col("text"), limit)).alias("page_no", "p"))
+    end = F.col("p.offset") + F.col("p.length")
+    return q.select("doc_id", "page_no", "p.offset", "p.length", F.when(end < F.col("n"), end).alias("next_offset"))
+
+
 def _page_walk(s, d, limit=600):
+    """The first page's length and the second page, as in the SQL; _page_walk_all goes on to the end."""
     first = _doubled(s, d).withColumn("a", T.truncate(F.col("text"), limit))
     rest = first.withColumn("r", F.substr("text", F.length("a") + 1))
     return rest.select("doc_id", F.length("a").cast("bigint").alias("len1"), T.truncate(F.col("r"), limit).alias("page2"))
@@ -165,6 +173,7 @@ QUERIES = {
     "page_slice": lambda s, d: _docs(s, d).select("doc_id", T.take_chars(F.col("text"), 100).alias("head"), T.slice_at(F.col("text"), F.lit(100)).alias("rest")),
     "page_cut": _page_cut,
     "page_walk": _page_walk,
+    "page_walk_all": _page_walk_all,
     "fence_close": _fence_closed,
     "fence_state": _fence_state,
     "paragraphs": _paragraphs,

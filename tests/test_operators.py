@@ -23,6 +23,23 @@ def test_cutting_and_joining_gives_the_text(spark, texts):
         assert r["a"] + r["r"] == r["t"] and len(r["a"]) <= 7
 
 
+def test_walk_gives_every_page_of_the_cut(spark, tmp_path):
+    texts = ["", "é" * 1201, "a" * 599 + "\n\n日" * 300, "\n".join("word " * (k % 90) for k in range(200)), "x" * 600, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in sorted(registry.queries()["page_walk_all"](spark, str(tmp_path)).collect(), key=lambda r: (r["doc_id"], r["page_no"])):
+        assert r["offset"] == sum(got.setdefault(r["doc_id"], []))
+        got[r["doc_id"]].append(r["length"])
+        assert (r["next_offset"] or len(texts[r["doc_id"]].replace("\n", "\n\n"))) == sum(got[r["doc_id"]])
+    assert set(got) == {1, 2, 3, 4} and got[1] == [600, 600, 1] and got[4] == [600] and len(got[3]) > 60
+    left = [(k, texts[k].replace("\n", "\n\n"), 0) for k in got]
+    for _ in range(4):
+        df = spark.createDataFrame(left, "k int, t string, page int").withColumn("n", F.length(T.truncate(F.col("t"), 600)))
+        rows = df.collect()
+        assert [r["n"] for r in rows] == [got[r["k"]][r["page"]] for r in rows]
+        left = [(r["k"], r["t"][r["n"] :], r["page"] + 1) for r in rows if r["n"] < len(r["t"])]
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(TEXTS)
 def test_closed_fences_stay_closed(spark, texts):
