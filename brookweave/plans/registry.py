@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("text_queries", "web_queries", "page_queries")
+MODULES = ("text_queries", "web_queries", "page_queries", "whole_queries")
 
 
 def _all(name: str) -> dict:

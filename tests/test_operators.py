@@ -102,6 +102,25 @@ def test_matching_links_up_to_a_hundred(spark, tmp_path):
     assert got == {(1, k) for k in range(100)} | {(2, 0)}
 
 
+def test_literal_rules_run_over_whole_columns(spark, sf):
+    q, t = registry.queries(), lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    pages = t("scrape_results").filter("scrape_id is not null").dropDuplicates(["scrape_id"])
+    texts = {r[0]: r[1] for r in pages.filter("markdown is not null").select("scrape_id", "markdown").collect()}
+    for name in ("fence_close_all", "fence_state_all", "table_artifact_all", "readme_clean_all"):
+        assert q[name](spark, sf).count() == len(texts) > 20
+    parts = {}
+    for r in sorted(q["paragraphs_all"](spark, sf).collect(), key=lambda r: (r["scrape_id"], r["i"])):
+        parts.setdefault(r["scrape_id"], []).append(r["p"])
+    assert {k: "\n\n".join(v) for k, v in parts.items()} == texts
+    assert q["page_type_all"](spark, sf).count() == pages.filter("clean_html is not null").count()
+    assert q["escaping_all"](spark, sf).count() == pages.filter("title is not null").count()
+    assert q["url_join_all"](spark, sf).count() == pages.selectExpr("explode(links)").count()
+    for name in ("query_terms_all", "focus_query_words_all"):
+        assert q[name](spark, sf).count() == t("search_results").filter("query is not null").select("search_id").distinct().count()
+    assert q["block_reason_all"](spark, sf).count() == t("fetch_stats").select("stat_id").distinct().count()
+    assert q["is_pdf_url_all"](spark, sf).count() == q["demoted_junk_all"](spark, sf).count() > 20
+
+
 def test_streamed_pacing_is_the_batch_one(spark, tmp_path):
     rows = [("a", 1, 0), ("a", 2, 300), ("b", 3, 100), ("a", 4, 5000), ("b", 5, 900)]
     src = str(tmp_path / "in")
