@@ -3,9 +3,10 @@
 Every line gets a key (case, spacing, quote and emphasis marks, list marks, dates and numbers removed; the link target
 stays) and, per pair of adjacent name-like words, a variant key in which the pair is blank, so that lines which differ
 in an author's name alone share a key.  Keys whose row count cannot reach the thresholds are dropped first (exact: a
-row count bounds the number of records from above).  The records of the others are held as compressed bitmaps per site
-and key: containers of 32,768 ids, sparse ones as position arrays, dense ones as bit arrays.  Uniting the variants'
-containers gives exact cardinalities; lines are found, and deleted, by looking their record up in the bitmap.
+row count bounds the number of records from above).  For the others a plain distinct count of the records per site and
+key decides.  The records of the repeated ones are then held as compressed bitmaps: containers of 32,768 ids, sparse
+ones as position arrays, dense ones as bit arrays.  They are built from the counted rows, so the lookup by which lines
+are found and deleted holds for every such row; bitmaps are not united and do not decide.
 
 A null ``site`` is one site.  Null or empty ``markdown`` has no lines but counts as a record of its site.  Repeated
 deliveries set a bit twice and change nothing.  Any number of records per site or line: all groups are pre-aggregated
