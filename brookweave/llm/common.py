@@ -16,12 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoint(spark: SparkSession) -> None:
-    """Use the cluster's folder of spark.checkpoint.dir; only where it is unset (tests) set an own one."""
+    """Use the cluster's folder of spark.checkpoint.dir.
+
+    Where it is unset a local session (tests) gets one of its own; a cluster gets an error, since a machine-local folder
+    is not shared by its executors.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = os.path.join(tempfile.gettempdir(), f"brookweave-{sc.applicationId}")
     sc.setCheckpointDir(where)
 
@@ -38,7 +44,7 @@ def records(df: DataFrame) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About `rows` rows, and never more than twice as many, by the key's hash: the same ones whenever it is read.
+    """About `rows` rows by the key's hash, evenly spread: the same ones whenever it is read.
 
     Only the row count is gathered; the threshold is applied in the scan, so no text is moved to choose the sample.
     """
@@ -46,7 +52,7 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     if n <= rows:
         return df
     below = int(-(1 << 63) + (1 << 64) * (rows / n))
-    return df.filter(F.xxhash64(key) < F.lit(below)).limit(2 * rows)
+    return df.filter(F.xxhash64(key) < F.lit(below))
 
 
 # ---------------------------------------------------------------- markdown lines
@@ -124,9 +130,9 @@ def aligned(markdown: str, source: str | None) -> list[tuple[int, str, str]]:
         return [(i, x, "") for i, x in lines]
     parts = blocks(source)
     out: list[tuple[int, str, str]] = []
-    if len(parts) == len(lines):
-        return [(i, x, p) for (i, x), (p, _) in zip(lines, parts)]
     keys = [plain(t) for _, t in parts]
+    if [plain(x) for _, x in lines] == keys:
+        return [(i, x, p) for (i, x), (p, _) in zip(lines, parts)]
     place: dict[str, list[int]] = {}
     for k in range(len(keys) - 1, -1, -1):
         place.setdefault(keys[k], []).append(k)
