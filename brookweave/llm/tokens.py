@@ -3,10 +3,12 @@
 A text is cut into words by the vocabulary's pattern (JVM regular expression).  Each distinct word of a text is encoded
 by a fold over its byte array: every step looks up the rank of each adjacent pair in a literal rank map, takes the
 smallest and merges its occurrences from left to right, until no pair has a rank.  The rank map is a perfect hash laid
-out in literal arrays, so that a lookup is two array reads.  The words of a bounded sample (HOT_WORDS of SAMPLE_ROWS
-texts) are encoded once by the same fold and looked up in the same way; all others are folded where they occur, so the
-sample decides about speed alone.  Words over LONG bytes (sequences without any blank), for which the fold's
-quadratic time would not do, are encoded in the Python worker by a heap-based library with the same ranks.
+out in literal arrays, so that a lookup is two array reads.  Between the steps a word is a string of one character per
+token, so that a merge is one replacement.  The words of a bounded sample (HOT_WORDS of SAMPLE_ROWS texts) are encoded
+once by the same fold and looked up in the same way; all others are folded where they occur, so the sample decides about
+speed alone.  Words over LONG bytes (sequences without any blank, some 20,000 bytes each), for which the fold's
+quadratic time would not do, are encoded in the Python worker by a heap-based library with the same ranks; the ranks
+reach the workers by broadcast.
 
 Defined cases: null and empty text give an empty list; blank text is encoded like any other; strings that look like
 special tokens are ordinary text.  Decoding concatenates the tokens' binary pieces.
@@ -81,7 +83,7 @@ class LiteralMap:
 
     def __init__(self, hashes: list[int]):
         n = max(1, len(hashes))
-        self.m = 1 << max(3, (n * 3 // 2).bit_length())
+        self.m = n * 4 // 3 + 8
         self.r = n // 3 + 1
         groups: dict[int, list[int]] = {}
         for i, h in enumerate(hashes):
@@ -132,6 +134,10 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Between the steps of the fold a token is the character of this offset and its id.
+BASE = 0x1000
+
+
 class Bpe:
     """The encoder's expressions for one vocabulary."""
 
@@ -144,41 +150,42 @@ class Bpe:
         self.map = LiteralMap([hash_long(k) for k in keys])
         self.keys = _literal(self.map.spread(keys, -1), "bigint")
         self.merged = _literal(self.map.spread([m for _, _, m in made], -1), "int")
-        left, right = [-1] * (max(self.ranks.values()) + 1), [-1] * (max(self.ranks.values()) + 1)
-        for a, b, m in made:
-            left[m], right[m] = a, b
-        self.left, self.right = _literal(left, "int"), _literal(right, "int")
-        self.bytes = _literal([self.ranks[bytes([i])] for i in range(256)], "int")
+        n = max(self.ranks.values()) + 1
+        if BASE + n > 0xD800:
+            raise ValueError("the vocabulary has more ids than the fold has characters")
+        pairs = [""] * n
+        for x, y, m in made:
+            pairs[m] = chr(BASE + x) + chr(BASE + y)
+        self.pairs, self.chars = _literal(pairs, "string"), _literal([chr(BASE + i) for i in range(n)], "string")
+        self.bytes = _literal([chr(BASE + self.ranks[bytes([i])]) for i in range(256)], "string")
         self.hot: LiteralMap | None = None
 
     # -------- the fold
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """The merged id of a pair, which is its rank; null for a pair without."""
-        key = a.cast("bigint") * F.lit(self.wide) + b
-        slot = lambda at: F.when(F.get(self.keys, at) == key, F.get(self.merged, at))
-        return _let(self.map.at(F.xxhash64(key)), slot)
+    def _least(self, ids: Column) -> Column:
+        """The least rank of adjacent pairs, which is the merged id; null where no pair has one."""
+        k = F.size(ids) - 1
+        keys = F.zip_with(F.slice(ids, F.lit(1), k), F.slice(ids, F.lit(2), k), lambda a, b: a.cast("bigint") * F.lit(self.wide) + b)
 
-    def _merge(self, ids: Column, m: Column) -> Column:
-        def put(out: Column, x: Column) -> Column:
-            n = F.size(out)
-            hit = (n > 0) & (x == F.get(self.right, m)) & (F.get(out, n - 1) == F.get(self.left, m))
-            return F.when(hit, F.concat(F.slice(out, F.lit(1), n - 1), F.array(m))).otherwise(F.concat(out, F.array(x)))
+        def ranks(keys: Column) -> Column:
+            at = F.transform(F.transform(keys, lambda x: F.xxhash64(x)), self.map.at)
+            return F.array_min(F.zip_with(keys, at, lambda x, s: F.when(F.get(self.keys, s) == x, F.get(self.merged, s))))
 
-        return F.aggregate(ids, F.array().cast("array<int>"), put)
+        return F.when(k > 0, _let(keys, ranks))
 
     def fold(self, word: Column) -> Column:
         """ids of a word that is not empty."""
-        n = F.octet_length(word)
-        raw = F.hex(F.encode(word, "UTF-8"))
-        start = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(self.bytes, F.conv(F.substr(raw, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
+        ids = lambda s: F.transform(F.split(s, ""), lambda c: F.ascii(c) - BASE)
+        raw = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+        start = F.array_join(F.transform(raw, lambda c: F.get(self.bytes, F.ascii(c))), "")
+        state = lambda s, done: F.struct(s.alias("s"), F.lit(done).alias("done"))
 
-        def step(ids: Column, _: Column) -> Column:
-            k = F.size(ids) - 1
-            ranks = F.zip_with(F.slice(ids, F.lit(1), k), F.slice(ids, F.lit(2), k), self.rank)
-            return F.when(k < 1, ids).otherwise(_let(F.array_min(ranks), lambda m: F.when(m.isNull(), ids).otherwise(self._merge(ids, m))))
+        def step(st: Column, _: Column) -> Column:
+            s = st["s"]
+            merged = _let(self._least(ids(s)), lambda m: F.when(m.isNull(), state(s, True)).otherwise(state(F.replace(s, F.get(self.pairs, m), F.get(self.chars, m)), False)))
+            return F.when(st["done"], st).otherwise(merged)
 
-        return F.aggregate(F.sequence(F.lit(1), n), start, step)
+        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), state(start, False), step, lambda st: ids(st["s"]))
 
     # -------- texts
 
@@ -200,44 +207,49 @@ class Bpe:
             self.hot_sizes = _literal(self.hot.spread([len(i) for _, i in words], 0), "int")
         return self
 
-    def _long(self):
-        path = self.path
+    def _long(self, docs: DataFrame):
+        ranks = docs.sparkSession.sparkContext.broadcast(self.ranks)  # one vocabulary
         made = []
 
         @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
         def encode(words: pd.Series) -> pd.Series:
             if not made and any(len(ws) for ws in words):
-                made.append(library(path))
+                made.append(library(ranks.value))
             return words.map(lambda ws: [made[0].encode_ordinary(w) for w in ws])
 
         return encode
 
     def parts(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """docs with _w (words), _at (slot of a hot word or -1), _rare and _long with their ids _rids and _lids."""
-        d = docs.withColumn("_w", F.when(F.length(text) > 0, self.words(F.col(text))).otherwise(F.array().cast("array<string>")))
+        none = F.array().cast("array<string>")
+        d = docs.withColumn("_w", F.when(F.length(text) > 0, self.words(F.col(text))).otherwise(none))
         if self.hot is None:
             d = d.withColumn("_at", F.transform("_w", lambda w: F.lit(-1)))
         else:
-            d = d.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-            d = d.withColumn("_at", F.zip_with("_w", "_h", lambda w, h: _let(self.hot.at(h), lambda s: F.when(F.get(self.hot_words, s) == w, s).otherwise(-1)))).drop("_h")
-        d = d.withColumn("_rest", F.array_distinct(F.filter(F.zip_with("_w", "_at", lambda w, s: F.when(s < 0, w)), lambda w: w.isNotNull())))
+            slots = F.transform(F.transform("_w", lambda w: F.xxhash64(w)), self.hot.at)
+            d = d.withColumn("_at", F.zip_with("_w", slots, lambda w, s: F.when(F.get(self.hot_words, s) == w, s).otherwise(-1)))
+        rest = F.array_distinct(F.filter(F.zip_with("_w", "_at", lambda w, s: F.when(s < 0, w)), lambda w: w.isNotNull()))
+        d = d.withColumn("_rest", F.when(F.array_contains("_at", F.lit(-1)), rest).otherwise(none))
         d = d.withColumn("_rare", F.filter("_rest", lambda w: F.octet_length(w) <= LONG)).withColumn("_long", F.filter("_rest", lambda w: F.octet_length(w) > LONG)).drop("_rest")
         d = d.withColumn("_rids", F.transform("_rare", self.fold))
-        return d.withColumn("_lids", self._long()(F.col("_long")))
+        return d.withColumn("_lids", self._long(docs)(F.col("_long")))
 
     def _cold(self, w: Column) -> Column:
         # two references each keep the folds out of this lambda, where the optimizer would repeat them for every word
         short = F.when(F.size("_rids") > 0, F.get(F.col("_rids"), (F.array_position("_rare", w) - 1).cast("int")))
         return F.coalesce(short, F.when(F.size("_lids") > 0, F.get(F.col("_lids"), (F.array_position("_long", w) - 1).cast("int"))))
 
+    def _each(self, hot, cold) -> Column:
+        """hot(slot) or cold(word) of each word; a text of hot words alone takes the shorter way."""
+        mixed = F.zip_with("_w", "_at", lambda w, s: F.when(s >= 0, hot(s)).otherwise(cold(w)))
+        return F.when((F.size("_rare") == 0) & (F.size("_long") == 0), F.transform("_at", hot)).otherwise(mixed)
+
     def ids(self) -> Column:
-        hot = (lambda s: F.get(self.hot_ids, s)) if self.hot else (lambda s: F.lit(None).cast("array<int>"))
-        return F.flatten(F.zip_with("_w", "_at", lambda w, s: F.when(s >= 0, hot(s)).otherwise(self._cold(w))))
+        return F.flatten(self._each((lambda s: F.get(self.hot_ids, s)) if self.hot else (lambda s: F.lit(None).cast("array<int>")), self._cold))
 
     def sizes(self) -> Column:
         """The number of tokens of each word."""
-        hot = (lambda s: F.get(self.hot_sizes, s)) if self.hot else (lambda s: F.lit(0))
-        return F.zip_with("_w", "_at", lambda w, s: F.when(s >= 0, hot(s)).otherwise(F.size(self._cold(w))))
+        return self._each((lambda s: F.get(self.hot_sizes, s)) if self.hot else (lambda s: F.lit(0)), lambda w: F.size(self._cold(w)))
 
     def decode(self, ids: Column) -> Column:
         pieces = [""] * (max(self.ranks.values()) + 1)
@@ -247,10 +259,10 @@ class Bpe:
         return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
 
 
-def library(path: str):
+def library(ranks: dict[bytes, int]):
     import tiktoken
 
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
