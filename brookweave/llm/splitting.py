@@ -3,8 +3,9 @@
 The boundaries of a text (claims, paragraphs, sentences, words) have token positions and a penalty by kind.  A piece
 ends at a boundary and the next one begins `overlap` tokens before it, so both share exactly these tokens.  The program
 over the boundaries minimises the sum of cut penalties and squared deviations from an even size, under the capacity.
-Word boundaries are candidates only where better ones lie too far apart, and positions inside a word only where the
-word itself is longer than that (sequences without any blank).
+Claims, paragraphs and sentences are all candidates; where two of them lie more than half a piece apart every word
+boundary between them is one as well, and where a word itself is longer than that (a sequence without any blank) the
+positions at each half piece inside it.
 
 Defined cases: null and empty texts and those within the capacity have no pieces here (they stay whole); a text without
 any boundary is cut by tokens; a capacity not above its overlap is an error; a first character of which the overlap
@@ -17,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,24 +29,47 @@ from .tokens import Bpe, library
 KINDS = ("claim", "paragraph", "sentence", "word", "token")
 PENALTY = np.array([0.0, 0.6, 2.0, 8.0, 30.0])
 UNEVEN, PIECE = 6.0, 1.0
-STEP = 200
-
-CLAIM = re.compile(r"(?:\r\n|\r|\n)(?=[ \t]*(?:\(?\d{1,3}\s?[.)．、]\s|claim \d|\[?請求項|权利要求))", re.I)
-PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)(?:[ \t]*(?:\r\n|\r|\n))+|(?:\r\n|\r|\n)(?=[ \t]*(?:\[\d{2,5}\]|【))|[\u2028\u2029]+")
-LINE = re.compile(r"\r\n|\r|\n")
-SENTENCE = re.compile(r"[.!?…;](?=[\s\"'”’)])|[。！？；]")
+#: Characters of output that a worker holds before it gives them away.
+OUT_CHARS = 4_000_000
+#: Ends of pieces whose deviations are computed together.
+ROWS = 256
+
+#: A sentence's or a line's end; a line's end may be that of a paragraph or come before a claim.
+MARK = re.compile(r"([.!?…;](?=[\s\"'”’)])|[。！？；])|\r\n?|\n|[\u2028\u2029]+")
+CLAIM = re.compile(r"[ \t]*(?:\(?\d{1,3}\s?[.)．、]\s|claim \d|\[?請求項|权利要求)", re.I)
+PARAGRAPH = re.compile(r"(?:[ \t]*(?:\r\n?|\n))+|(?=[ \t]*(?:\[\d{2,5}\]|【))")
+
+
+def marks(text: str) -> tuple[list[int], list[int]]:
+    """(ends, kinds) of the marks of a text, in order."""
+    at, kinds = [], []
+    for m in MARK.finditer(text):
+        end, kind = m.end(), 2
+        if m[1] is None:
+            if text[end - 1] in "\u2028\u2029":
+                kind = 1
+            else:
+                if CLAIM.match(text, end):
+                    kind = 0
+                else:
+                    blank = PARAGRAPH.match(text, end)
+                    if blank:
+                        end, kind = blank.end(), 1
+                        if CLAIM.match(text, end):
+                            kind = 0
+        at.append(end)
+        kinds.append(kind)
+    return at, kinds
 
 
 def boundaries(text: str, ends: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(token positions, kinds) of the natural boundaries; ends and tokens are the words' cumulative sizes."""
     best = np.full(len(ends), 3, dtype=np.int8)
-    for kind, pattern in ((2, SENTENCE), (2, LINE), (1, PARAGRAPH), (0, CLAIM)):
-        at = np.fromiter((m.end() for m in pattern.finditer(text)), dtype=np.int64)
-        if len(at):
-            k = np.searchsorted(ends, at)
-            k = k[k < len(ends)]
-            # a mark in the middle of a word-like run (3.5, a line break before blanks) moves to the run's end
-            best[k] = np.minimum(best[k], kind)
+    at, kinds = marks(text)
+    if at:
+        # a mark in the middle of a word-like run (3.5, a line break before blanks) moves to the run's end
+        k = np.searchsorted(ends, at)
+        np.minimum.at(best, k[k < len(ends)], np.asarray(kinds, np.int8)[k < len(ends)])
     return tokens, best
 
 
@@ -55,13 +79,11 @@ def candidates(tokens: np.ndarray, kinds: np.ndarray, room: int) -> tuple[np.nda
     pos, kind = tokens[good], kinds[good]
     total = int(tokens[-1])
     step = max(1, room // 2)
-    fine = max(1, room // 24)
     out_p, out_k = [pos], [kind]
     edge = np.concatenate([[0], pos, [total]])
     for a, b in zip(edge[:-1], edge[1:]):
         if b - a > step:
-            inner = tokens[(tokens > a) & (tokens < b)]
-            keep = inner[np.unique(np.searchsorted(inner, np.arange(a + fine, b, fine)).clip(max=max(0, len(inner) - 1)))] if len(inner) else inner
+            keep = tokens[np.searchsorted(tokens, a, side="right") : np.searchsorted(tokens, b)]
             out_p.append(keep)
             out_k.append(np.full(len(keep), 3, np.int8))
             e2 = np.concatenate([[a], keep, [b]])
@@ -96,20 +118,23 @@ def cuts(pos: np.ndarray, kind: np.ndarray, capacity: int, overlap: int) -> list
     fits = int(np.searchsorted(pos, capacity, side="right"))
     add = (pay + PIECE).tolist()
     at = (x - even).tolist()
-    for j in range(1, len(pos)):
-        i = low[j]
-        d = x[i:j] - at[j]
-        c = d * d * UNEVEN + cost[i:j]
-        m = int(c.argmin())
-        least = float(c[m])
-        m += i
-        if i and j < fits:
-            # the first piece has no overlap and may use the whole capacity
-            c0 = UNEVEN * (at[j] - overlap / room) ** 2
-            if c0 <= least:
-                least, m = c0, 0
-        cost[j] = least + add[j]
-        back[j] = m
+    for top in range(1, len(pos), ROWS):
+        # the deviations of ROWS ends from all starts within reach, at once
+        end, base = min(top + ROWS, len(pos)), low[top]
+        dev = (x[None, base:end] - np.asarray(at[top:end])[:, None]) ** 2 * UNEVEN
+        for j in range(top, end):
+            i = low[j]
+            c = dev[j - top, i - base : j - base] + cost[i:j]
+            m = int(c.argmin())
+            least = float(c[m])
+            m += i
+            if i and j < fits:
+                # the first piece has no overlap and may use the whole capacity
+                c0 = UNEVEN * (at[j] - overlap / room) ** 2
+                if c0 <= least:
+                    least, m = c0, 0
+            cost[j] = least + add[j]
+            back[j] = m
     out = []
     j = len(pos) - 1
     while j > 0:
@@ -122,40 +147,40 @@ def pieces(text: str, lens: np.ndarray, sizes: np.ndarray, limits: list[tuple[in
     """(limit_id, piece_no, start_token, end_token, cut, text) of each piece, for every limit that the text exceeds."""
     tokens, ends = np.cumsum(sizes), np.cumsum(lens)
     total = int(tokens[-1]) if len(tokens) else 0
-    pos0, kind0 = boundaries(text, ends, tokens) if any(total > c for _, c, _ in limits) else (tokens, None)
+    limits = [x for x in limits if total > x[1]]
+    if not limits:
+        return
+    pos0, kind0 = boundaries(text, ends, tokens)
+    known: dict[int, tuple[bytes, np.ndarray]] = {}
 
-    def char(t: int) -> tuple[int, int]:
+    def place(t: int) -> tuple[int, int]:
         """(word that begins at or holds token t, tokens of it before t)."""
         w = int(np.searchsorted(tokens, t, side="right"))
         return w, t - (int(tokens[w - 1]) if w else 0)
 
-    def head(t: int, whole: bool) -> bytes:
-        w, k = char(t)
-        start = int(ends[w - 1]) if w else 0
-        if not k:
-            return b""
-        word = encode(text[start : start + int(lens[w])])
-        return b"".join(word[k:] if whole else word[:k])
+    def inside(w: int, k0: int, k1: int | None) -> str:
+        """The characters of tokens k0 to k1 of word w; each word is encoded once."""
+        if w not in known:
+            end = int(ends[w])
+            parts = encode(text[end - int(lens[w]) : end])
+            known[w] = b"".join(parts), np.cumsum([0, *map(len, parts)])
+        raw, at = known[w]
+        return raw[at[k0] : at[-1 if k1 is None else k1]].decode("utf-8", "ignore")
 
     for limit_id, capacity, overlap in limits:
-        if total <= capacity:
-            continue
         pos, kind = candidates(pos0, kind0, capacity - overlap)
         at, no = 0, 0
         for j in cuts(pos, kind, capacity, overlap):
             end = int(pos[j])
             start = max(0, at - overlap) if no else 0
-            w0, k0 = char(start)
-            w1, k1 = char(end)
-            if w0 == w1 and (k0 or k1):
-                base = int(ends[w0 - 1]) if w0 else 0
-                word = encode(text[base : base + int(lens[w0])])
-                body = b"".join(word[k0 : k1 if w0 == w1 else None])
-                piece = body.decode("utf-8", "ignore")
+            w0, k0 = place(start)
+            w1, k1 = place(end)
+            if w0 == w1:
+                piece = inside(w0, k0, k1)
             else:
-                a = int(ends[w0]) if k0 else (int(ends[w0 - 1]) if w0 else 0)
-                b = int(ends[w1 - 1]) if w1 else 0
-                piece = (head(start, True) if k0 else b"").decode("utf-8", "ignore") + text[a:b] + (head(end, False) if k1 else b"").decode("utf-8", "ignore")
+                first = w0 + (k0 > 0)
+                body = text[int(ends[first - 1]) if first else 0 : int(ends[w1 - 1])]
+                piece = (inside(w0, k0, None) if k0 else "") + body + (inside(w1, 0, k1) if k1 else "")
             yield limit_id, no, start, end, "end" if j == len(pos) - 1 else KINDS[kind[j]], piece
             at, no = end, no + 1
 
@@ -173,25 +198,37 @@ def split(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, path:
     # a token has at least one byte, so shorter texts are within every limit
     d = bpe.parts(docs.filter(F.octet_length("text") > least))
     d = d.select("doc_id", "text", F.transform("_w", F.length).alias("lens"), bpe.sizes().alias("sizes"))
-    where = bpe.path
+    ranks = spark.sparkContext.broadcast(bpe.ranks)  # one vocabulary
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("limit_id", pa.int32()), ("piece_no", pa.int32()), ("start_token", pa.int32()), ("end_token", pa.int32()), ("cut", pa.string()), ("text", pa.string())]
+    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list = []
 
         def encode(word: str) -> list[bytes]:
             if not made:
-                made.append(library(where))
-            return [made[0].decode_single_token_bytes(t) for t in made[0].encode_ordinary(word)]
+                made.append(library(ranks.value))
+            return made[0].decode_tokens_bytes(made[0].encode_ordinary(word))
+
+        def give(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for batch in batches:
-            # in small steps, as the pieces of a step hold its texts several times
-            for lo in range(0, len(batch), STEP):
-                b = batch.iloc[lo : lo + STEP]
-                out = [
-                    (doc, *p)
-                    for doc, text, lens, sizes in zip(b["doc_id"], b["text"], b["lens"], b["sizes"])
-                    for p in pieces(text, np.asarray(lens, np.int64), np.asarray(sizes, np.int64), limits, encode)
-                ]
-                yield pd.DataFrame(out, columns=["doc_id", "limit_id", "piece_no", "start_token", "end_token", "cut", "text"])
-
-    return d.mapInPandas(run, "doc_id bigint, limit_id int, piece_no int, start_token int, end_token int, cut string, text string")
+            ids, texts, lens, sizes = batch.columns
+            cut_at = lens.offsets.to_numpy()
+            lens, sizes = lens.values.to_numpy(), sizes.values.to_numpy()[sizes.offsets[0].as_py() :]
+            rows, held = [], 0
+            for i in range(batch.num_rows):
+                a, b = cut_at[i], cut_at[i + 1]
+                doc = ids[i].as_py()
+                for p in pieces(texts[i].as_py(), lens[a:b], sizes[a - cut_at[0] : b - cut_at[0]], limits, encode):
+                    rows.append((doc, *p))
+                    held += len(p[-1])
+                if held > OUT_CHARS:
+                    yield give(rows)
+                    rows, held = [], 0
+            if rows:
+                yield give(rows)
+
+    return d.mapInArrow(run, "doc_id bigint, limit_id int, piece_no int, start_token int, end_token int, cut string, text string")

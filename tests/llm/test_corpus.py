@@ -165,6 +165,24 @@ def test_other_chains_and_clean_text():
         assert r.text(good) == (False, None)
 
 
+def test_batches_without_garbled_text(spark, monkeypatch):
+    text = "Die Straße führt über die Brücke zum schönen Gewächshaus, später kommt die Mühle."
+    bad = text.encode().decode("cp1252")
+    monkeypatch.setattr(garbled, "samples", lambda *_: (CLEAN, frozenset()))
+    schema = "src string, rec_id bigint, field string, text string"
+    clean = spark.createDataFrame([("scrape_results", 1, "title", text)], schema).coalesce(1)
+    assert garbled.restored(spark, "", clean).collect() == []
+    assert garbled.restored(spark, "", clean.limit(0)).collect() == []
+    mixed = clean.unionByName(spark.createDataFrame([("search_hits", 2, "snippet", bad), ("search_hits", 2, "snippet", bad), ("search_hits", 3, "snippet", "une for\ufffdt")], schema)).coalesce(1)
+    assert sorted(map(tuple, garbled.restored(spark, "", mixed).collect())) == [("search_hits", 2, "snippet", text), ("search_hits", 3, "snippet", None)]
+
+
+def test_words_by_their_hashes(spark):
+    h = spark.createDataFrame([("straße",), ("был",)], "w string").select(F.xxhash64("w").alias("h")).toPandas()["h"].to_numpy()
+    w = garbled.Words(h)
+    assert "straße" in w and "был" in w and "brücke" not in w and "x" not in garbled.Words(h[:0])
+
+
 # ---------------------------------------------------------------- page rules
 
 
@@ -221,7 +239,7 @@ def docs(spark):
 
 
 def test_ids_are_the_library_ones(docs):
-    enc = tokens.library(tokens.vocabulary_path())
+    enc = tokens.library(tokens.load_ranks(tokens.vocabulary_path()))
     got = {r["doc_id"]: list(r["ids"]) for r in tokens.encoded(docs).collect()}
     assert got == {i: enc.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
     assert all(r["same"] for r in tokens.round_trip(docs).collect())
