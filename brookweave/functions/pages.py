@@ -5,55 +5,85 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Markers of bot walls, in their order, and statuses that mean a block.
+#: Statuses that mean a block, a challenge page's infrastructure with its vendor, and its texts.
 BLOCK_STATUS = (401, 403, 407, 429, 503)
-INFRA_MARKERS = ("cf-challenge", "cf-browser-verification", "challenge-platform", "_incapsula_", "px-captcha", "datadome")
+INFRA_MARKERS = (
+    ("/cdn-cgi/challenge-platform", "Cloudflare"),
+    ("captcha-delivery.com", "DataDome"),
+    ("_incapsula_resource", "Imperva"),
+    ("px-captcha", "PerimeterX"),
+    ("/_sec/cp_challenge", "Akamai"),
+    ("geo.captcha", "DataDome"),
+)
 COPY_MARKERS = (
-    "just a moment", "checking your browser", "verify you are human", "access denied", "unusual traffic", "are you a robot",
-    "enable javascript and cookies", "attention required", "press and hold", "bot detection",
-)
-SERP_MARKERS = (("anomaly", "anomaly"), ("cf-challenge", "cloudflare"), ("captcha", "captcha"))
+    "just a moment",
+    "cf-browser-verification",
+    "checking your browser",
+    "cf_chl_opt",
+    "enable javascript and cookies to continue",
+    "attention required! | cloudflare",
+    "__cf_chl",
+    "please enable js",
+    "please enable javascript",
+    "verifying you are human",
+)
+#: Markers of a result page that is a block, in their order.
+SERP_MARKERS = (
+    ("anomaly", ("anomaly.js", "/anomaly")),
+    ("cloudflare", ("/cdn-cgi/challenge", "challenge-platform", "cf-chl")),
+    ("captcha", ("g-recaptcha", "recaptcha/api", "hcaptcha", "unusual traffic", "are you a robot", "verify you are a human")),
+)
+#: Scripts and styles up to their end tag, or to the end of the page.
+RAW = r"(?s)(<script.*?)(?:</script|\z)|(<style.*?)(?:</style|\z)"
 
 
 def visible_bytes(html: Column) -> Column:
     """Bytes outside tags, scripts and styles that are no white space."""
-    bare = F.regexp_replace(F.lower(html), r"(?s)<(script|style).*?</(script|style)", "<")
-    return F.octet_length(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", ""), r"[ \t\n\r\f]", "")).cast("bigint")
+    bare = F.regexp_replace(F.lower(html), RAW, "<")
+    return F.octet_length(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*(>|\z)", ""), r"[ \t\n\r\f]", "")).cast("bigint")
 
 
 def script_bytes(html: Column) -> Column:
+    """Bytes of scripts and styles before their end tags."""
     low = F.lower(html)
-    total = lambda tag: F.aggregate(
-        F.regexp_extract_all(low, F.lit(rf"(?s)(<{tag}.*?)</{tag}"), F.lit(1)), F.lit(0).cast("bigint"), lambda a, x: a + F.octet_length(x)
-    )
-    return total("script") + total("style")
+    total = lambda g: F.aggregate(F.regexp_extract_all(low, F.lit(RAW), F.lit(g)), F.lit(0).cast("bigint"), lambda a, x: a + F.octet_length(x))
+    return total(1) + total(2)
+
+
+def _any(text: Column, needles) -> Column:
+    out = F.lit(False)
+    for n in needles:
+        out = out | F.contains(text, F.lit(n))
+    return out
 
 
 def block_reason(status: Column, html: Column) -> Column:
-    """Why a response is a bot wall: status, tiny body, infrastructure or copy markers, script shell; null if it is none."""
+    """Why a response is a bot wall: status, near-empty body, challenge page, script shell; null if it is none."""
     head = F.lower(F.substring(html, 1, 16_384))
     vis, scr, size = visible_bytes(html), script_bytes(html), F.octet_length(html)
-    out = F.when(status.isin(*BLOCK_STATUS), F.concat(F.lit("status:"), status.cast("string")))
-    out = out.when((size < 500) & (vis < 64), F.lit("tiny body"))
-    for m in INFRA_MARKERS + COPY_MARKERS:
-        out = out.when((size < 60_000) & F.contains(head, F.lit(m)), F.lit(f"marker:{m}"))
-    return out.when((vis < 500) & (scr > 500) & (scr > 2 * vis), F.lit("script shell"))
+    out = F.when(status.isin(*BLOCK_STATUS), F.concat(F.lit("HTTP "), status.cast("string"), F.lit(" from origin")))
+    out = out.when((size < 500) & (vis < 64), F.lit("near-empty response body"))
+    for m, vendor in INFRA_MARKERS:
+        out = out.when((size < 60_000) & F.contains(head, F.lit(m)), F.lit(f"{vendor} challenge page"))
+    out = out.when((size < 60_000) & _any(head, COPY_MARKERS), F.lit("bot interstitial text"))
+    shell = F.concat(
+        F.lit("thin body dominated by scripts ("), vis.cast("string"), F.lit("B text vs "), scr.cast("string"), F.lit("B script) - challenge page or client-rendered shell")
+    )
+    return out.when((vis < 500) & (scr > 500) & (scr > 2 * vis), shell)
 
 
 def serp_marker(html: Column) -> Column:
+    """anomaly, cloudflare or captcha where a result page is a block; null if it is none."""
     low = F.lower(html)
-    out = F.when(F.contains(low, F.lit(SERP_MARKERS[0][0])), F.lit(SERP_MARKERS[0][1]))
-    for m, name in SERP_MARKERS[1:]:
-        out = out.when(F.contains(low, F.lit(m)), F.lit(name))
-    return out
+    return F.coalesce(*(F.when(_any(low, needles), F.lit(name)) for name, needles in SERP_MARKERS))
 
 
 def serp_status(engine: Column, status: Column, html: Column, hits: Column) -> Column:
     """timeout, blocked:why, error:status, empty or ok:n of an engine's response."""
     text = (
         F.when(status.isNull(), F.lit("timeout"))
-        .when(status.isin(202, 403, 429), F.concat(F.lit("blocked:"), status.cast("string")))
-        .when(status != 200, F.concat(F.lit("error:"), status.cast("string")))
+        .when(status.isin(202, 403, 429), F.concat(F.lit("blocked:http"), status.cast("string")))
+        .when(status != 200, F.concat(F.lit("error:http"), status.cast("string")))
         .when(serp_marker(html).isNotNull(), F.concat(F.lit("blocked:"), serp_marker(html)))
         .when(hits == 0, F.lit("empty"))
         .otherwise(F.concat(F.lit("ok:"), hits.cast("string")))
@@ -73,6 +103,20 @@ def content_ok(md_len: Column, text_len: Column, html_len: Column, blocked: Colu
     return base | ((page_type == "list") & (links > 10) & (md_len > 50))
 
 
+def content_notes(ok: Column, blocked: Column, wall: Column, tier: Column, why: Column, html_len: Column, page_type: Column) -> Column:
+    """struct(note, next_action) of a page that holds no content; nulls where it does."""
+    bot = F.concat(F.lit("bot protection not bypassed (tier "), tier, F.lit(", "), F.coalesce(why, F.lit("blocked")), F.lit("); no article recovered"))
+    none = F.concat(
+        F.lit("no article extracted from "), html_len.cast("string"), F.lit(" bytes of HTML (app shell, index, or media page) - type: "), page_type
+    )
+    other = "site likely uses DataDome/Turnstile/Akamai, which no free tool bypasses - try another path on this domain or a different source"
+    walled = blocked | wall
+    return F.struct(
+        F.when(~ok, F.when(walled, bot).otherwise(none)).alias("note"),
+        F.when(~ok, F.when(walled, F.lit(other)).otherwise(F.lit("page has no prose to extract - try a specific article URL"))).alias("next_action"),
+    )
+
+
 def page_type(links: Column, link_text: Column, text: Column, p_text: Column, markdown: Column) -> Column:
     return (
         F.when((links >= 10) & (5 * link_text >= 2 * text) & (p_text < 200), F.lit("list"))

@@ -7,9 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning in a search query.
-QUERY_STOPWORDS = (
-    "a an and are as at be by for from how in is it of on or the to vs what with".split()
-)
+QUERY_STOPWORDS = "vs versus and or the a an of to for in on with is are how what why best using use".split()
 
 
 def collapse(text: Column) -> Column:

@@ -25,8 +25,8 @@ PRIVATE_V4 = (
     ("224.0.0.0", "239.255.255.255"),
     ("255.255.255.255", "255.255.255.255"),
 )
-#: Hosts of search engines, whose own pages are no results, and hosts that rank lower.
-ENGINE_HOSTS = ("duckduckgo.com", "bing.com", "brave.com", "mojeek.com", "yahoo.com")
+#: Hosts of search engines, whose own pages are no results.
+ENGINE_HOSTS = ("bing.com", "duckduckgo.com", "mojeek.com", "brave.com", "search.yahoo.com")
 
 
 def host_of(url: Column) -> Column:
@@ -95,10 +95,10 @@ def public_ip(ip: pd.Series) -> pd.Series:
 
 
 def valid(url: Column) -> Column:
-    """http(s) only, and no literal address that is not public."""
+    """http(s) only, no literal IPv4 address that is not public and no literal IPv6 address at all."""
     host = host_of(url)
     literal = host.rlike(r"^(\d{1,3}\.){3}\d{1,3}$")
-    return url.rlike(r"(?i)^https?://[^/?#\s]+") & (host != "") & (~literal | public_v4(host)) & (host != "localhost")
+    return url.rlike(r"(?i)^https?://[^/?#\s]+") & (host != "") & (~literal | public_v4(host)) & (host != "localhost") & ~F.contains(host, F.lit(":"))
 
 
 def host_matches(host: Column, domain: Column) -> Column:

@@ -7,6 +7,7 @@ depth is bounded by the document alone.  Null or empty html gives an empty docum
 
 from __future__ import annotations
 
+import html as _html
 import re
 from html.parser import HTMLParser
 
@@ -17,27 +18,43 @@ from pyspark.sql import functions as F
 from ..functions.urls import join
 
 #: Elements that hold no content, landmarks, and class words of page furniture.
-SKIP = frozenset("script style noscript template svg canvas iframe object embed form button input select textarea nav footer aside dialog menu map audio video source track param link meta base head".split())
+SKIP = frozenset(
+    "script style noscript template svg form input button select textarea nav footer aside iframe object embed canvas dialog link meta title base source track wbr col param area".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog".split())
-NOISE = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies footer menu nav navbar newsletter pagination popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+NOISE = tuple(
+    "nav navbar navigation menu sidebar breadcrumb breadcrumbs footer cookie consent banner signup sign-up login modal popup newsletter share sharing social related"
+    " advert ad ads promo toc mw-jump-link mw-editsection reflist references navbox".split()
+)
+NOISE_RE = re.compile("-(?:" + "|".join(NOISE) + ")-")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("p div section article main header figure figcaption blockquote address details summary dl dt dd center fieldset".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 ENDS_P = BLOCKS | frozenset("ul ol table pre h1 h2 h3 h4 h5 h6 hr li".split())
 #: Where main content is looked for, in order.
 TIERS = (
-    lambda n: n.tag == "main" or n.attrs.get("role") == "main",
     lambda n: n.tag == "article",
-    lambda n: n.attrs.get("id", "") in ("content", "main", "main-content", "mw-content-text"),
-    lambda n: bool({"content", "post-content", "entry-content", "article-body", "markdown-body"} & set(n.attrs.get("class", "").split())),
+    lambda n: n.tag == "main" or n.attrs.get("role") == "main",
+    lambda n: n.attrs.get("id") == "mw-content-text" or "mw-parser-output" in _classes(n),
+    lambda n: n.attrs.get("id") in ("content", "main") or bool({"content", "post", "entry-content"} & _classes(n)),
+    lambda n: n.attrs.get("id") in ("mainbar", "question"),
 )
 CODE_CLASS = re.compile(r"(?:^|\s)(?:language|lang|highlight)-(?:source-)?([A-Za-z0-9+#._-]{1,30})")
 SCHEMA = (
-    "title string, description string, markdown string, text string, links array<struct<href:string,text:string>>, media array<string>,"
+    "title string, description string, markdown string, clean_html string, text string, links array<struct<href:string,text:string>>, media array<string>,"
     " headings array<string>, page_type string, quality_score double"
 )
 
 
+def _classes(n: Node) -> set[str]:
+    return set(n.attrs.get("class", "").split())
+
+
+def noisy(names: str) -> bool:
+    """Whether one of the class or id names holds a word of page furniture as a whole word."""
+    return any(NOISE_RE.search(f"-{x.lower().replace('_', '-')}-") for x in names.split())
+
+
 class Node:
     __slots__ = ("tag", "attrs", "kids", "up")
 
@@ -131,8 +148,7 @@ def _noise(n: Node, whole: int) -> bool:
         return True
     if n.tag in ("pre", "code", "body", "html"):
         return False
-    words = re.split(r"[\s-]+", f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower().replace("_", "-"))
-    if NOISE & set(words):
+    if noisy(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"):
         size = _size(n)[0]
         return size < 200 or size * 4 < whole
     return False
@@ -148,6 +164,7 @@ class Writer:
     def __init__(self, base: str, whole: int):
         self.base, self.whole = base, whole
         self.out: list[str] = []
+        self.box: list[str] | None = None
         self.text = self.link_text = self.p_text = self.links = 0
 
     def _line(self, n: Node) -> str:
@@ -218,6 +235,9 @@ class Writer:
                 before = self.text
                 self._put(self._line(n))
                 self.p_text += self.text - before
+                if self.box and self.text > before:
+                    self._put("\n\n".join(self.box))
+                    self.box = []
             elif n.tag == "pre":
                 self._code(n)
             elif n.tag in ("ul", "ol"):
@@ -229,6 +249,16 @@ class Writer:
                         if line:
                             rows.append(f"{'-' if n.tag == 'ul' else f'{i}.'} {line}")
                 self._put("\n".join(rows))
+            elif n.tag == "table" and "infobox" in _classes(n):
+                # the first infobox comes after the lead paragraph, up to INFOBOX bytes of it; others are dropped
+                if self.box is None:
+                    rows = [" | ".join(c for c in (self._line(c).replace("\n", " ") for c in tr.kids if isinstance(c, Node) and c.tag in ("td", "th")) if c) for tr in n.walk() if isinstance(tr, Node) and tr.tag == "tr"]
+                    self.box, size = [], 0
+                    for row in rows:
+                        size += len(row.encode())
+                        if size > INFOBOX:
+                            break
+                        self.box.append(row)
             elif n.tag == "table":
                 for tr in n.walk():
                     if isinstance(tr, Node) and tr.tag == "tr":
@@ -246,9 +276,66 @@ class Writer:
                 todo.extend(("n", k, pad) for k in reversed(n.kids))
             else:
                 self._put(self._line(n))
+        if self.box:
+            self._put("\n\n".join(self.box))
         return "\n\n".join(self.out)
 
 
+#: Tags that the sanitized html keeps, and those that become paragraphs.
+KEEP_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p ul ol li strong b em i code blockquote a".split())
+BLOCK_TAGS = frozenset("div section article main header figure figcaption details summary dl dt dd address".split())
+#: Bytes of an infobox that are shown.
+INFOBOX = 1500
+
+
+def clean_html(root: Node, base: str, whole: int) -> str:
+    """The root with KEEP_TAGS alone: other tags give way to their content, blocks become paragraphs, code stays whole."""
+    out: list[str] = []
+    todo: list = [root]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, tuple):
+            out.append(n[0])
+        elif isinstance(n, str):
+            out.append(_html.escape(n))
+        elif n is not root and _noise(n, whole):
+            continue
+        elif n.tag == "pre":
+            out.append("<pre><code>" + _html.escape(_flat(n).strip("\n")) + "</code></pre>")
+        elif n.tag in ("br", "hr"):
+            out.append(f"<{n.tag}>")
+        elif n.tag == "img":
+            src = join(n.attrs.get("src"), base)
+            if src:
+                out.append(f'<img src="{_html.escape(src)}" alt="{_html.escape(n.attrs.get("alt", ""))}">')
+        else:
+            tag = "p" if n.tag in BLOCK_TAGS and n is not root else n.tag if n.tag in KEEP_TAGS else ""
+            if tag == "a":
+                href = join(n.attrs.get("href"), base)
+                out.append(f'<a href="{_html.escape(href)}">' if href else "<a>")
+            elif tag:
+                out.append(f"<{tag}>")
+            if tag:
+                todo.append((f"</{tag}>",))
+            todo.extend(reversed(n.kids))
+    return "".join(out)
+
+
+def link_markdown(title: str, links: list[dict], text: str) -> str:
+    """What stands for a page whose layout table came out as pipes: its text's start and its links, each once."""
+    seen: dict[str, str] = {}
+    for x in links:
+        seen.setdefault(x["href"], x["text"])
+    rows = [f"- [{t}]({h})" for h, t in list(seen.items())[:50]]
+    parts = ([f"# {title}"] if title else []) + [" ".join(text.split())[:2000], "\n".join(rows)]
+    return "\n\n".join(parts)
+
+
+def is_artifact(md: str) -> bool:
+    pipes, letters = md.count("|"), sum(c.isalpha() for c in md)
+    return pipes > 20 and letters > 0 and pipes / letters > 0.05 and "|  " in md
+
+
 def _links(tree: Node, base: str) -> list[dict]:
     out = []
     for n in tree.walk():
@@ -276,7 +363,7 @@ def _media(tree: Node, base: str) -> list[str]:
 
 def extract(html: str | None, url: str | None, want_links: bool = True, want_media: bool = True) -> dict:
     if not html:
-        return dict.fromkeys(("title", "description", "markdown", "text"), "") | {"links": [], "media": [], "headings": [], "page_type": "unknown", "quality_score": 0.0}
+        return dict.fromkeys(("title", "description", "markdown", "text", "clean_html"), "") | {"links": [], "media": [], "headings": [], "page_type": "unknown", "quality_score": 0.0}
     parser = Tree()
     parser.feed(html)
     parser.close()
@@ -286,7 +373,10 @@ def extract(html: str | None, url: str | None, want_links: bool = True, want_med
     meta = {(n.attrs.get("name") or n.attrs.get("property") or "").lower(): n.attrs.get("content", "").strip() for n in reversed(nodes) if n.tag == "meta"}
     root = main_root(tree)
     w = Writer(base, _size(root)[0])
+    whole_root = _size(root)[0]
     markdown = w.write(root)
+    if is_artifact(markdown):
+        markdown = link_markdown(title, _links(tree, base), _flat(root))
     text = " ".join(re.sub(r"[#*`>]|\]\([^)]*\)|!?\[", " ", markdown).split())
     links = _links(tree, base) if want_links else []
     if w.links >= 10 and 5 * w.link_text >= 2 * w.text and w.p_text < 200:
@@ -300,16 +390,17 @@ def extract(html: str | None, url: str | None, want_links: bool = True, want_med
     heads = [x.strip() for x in markdown.split("\n") if x.lstrip().startswith("#")][:20]
     return {
         "title": title, "description": meta.get("description") or meta.get("og:description") or "", "markdown": markdown, "text": text, "links": links,
-        "media": _media(tree, base) if want_media else [], "headings": heads, "page_type": kind, "quality_score": score,
+        "media": _media(tree, base) if want_media else [], "clean_html": clean_html(root, base, whole_root), "headings": heads, "page_type": kind, "quality_score": score,
     }
 
 
-def documents(pages: DataFrame, html: str, url: str, key: str, want_links: bool = True, want_media: bool = True) -> DataFrame:
-    """(key, SCHEMA): the extracted documents."""
+def documents(pages: DataFrame, html: str, url: str, key: str, want_links: bool = True, want_media: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """(key, keep, SCHEMA): the extracted documents, with the columns of pages that keep names."""
 
     @F.pandas_udf(SCHEMA)
     def run(source: pd.Series, at: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([extract(h, u, want_links, want_media) for h, u in zip(source, at)])
 
     doc: Column = run(F.col(html), F.col(url))
-    return pages.select(key, doc.alias("doc")).select(key, "doc.*")
+    kept = [key, *(keep or [])]
+    return pages.select(*kept, doc.alias("doc")).select(*kept, "doc.*")

@@ -1,6 +1,6 @@
 """Result pages of search engines: parse_serp(engine, html) as an Arrow UDF over a recorded table of pages.
 
-Each engine has a rule of its own: the class of a result's anchor and of its snippet.  A result needs a title, an http
+Each engine has a rule of its own: the element of a result, and in it the anchor, the title and the snippet.  A result needs a title, an http
 address after unwrapping redirects, and a host that is no engine's own.  Rows and snippets of the plain table layout
 are paired by order: a snippet belongs to the link before it.
 """
@@ -15,17 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.urls import ENGINE_HOSTS
-from .extract import Node, Tree, _flat
+from .extract import Node, Tree
 
-#: Engine -> (result anchor's class or parent's tag and class, snippet's class, base address).
+#: Per engine the base address and how a result, its anchor, title and snippet are told.
 RULES = {
-    "ddg": ({"result__a"}, {"result__snippet"}, "https://duckduckgo.com"),
-    "ddg-lite": ({"result-link"}, {"result-snippet"}, "https://duckduckgo.com"),
-    "bing": ({"h2"}, {"b_caption", "b_lineclamp2", "b_lineclamp3", "b_lineclamp4", "b_paractl"}, "https://www.bing.com"),
-    "brave": ({"heading-serpresult", "result-header", "l1"}, {"snippet-description", "generic-snippet", "content"}, "https://search.brave.com"),
-    "mojeek": ({"title"}, {"s"}, "https://www.mojeek.com"),
-    "yahoo": ({"compTitle", "title", "h3"}, {"compText"}, "https://search.yahoo.com"),
-}
+    "ddg": ("https://duckduckgo.com/", {"class": "result"}, {"tag": "a", "in": {"tag": "h2", "class": "result__title"}}, None, [{"class": "result__snippet"}]),
+    "bing": (
+        "", {"tag": "li", "class": "b_algo"}, {"tag": "a", "in": {"tag": "h2"}}, None,
+        [{"tag": "p", "in": {"class": "b_caption"}}, {"class": "b_lineclamp2"}, {"class": "b_lineclamp3"}, {"class": "b_lineclamp4"}],
+    ),
+    "brave": ("", {"tag": "div", "data-type": "web"}, {"tag": "a", "href": None}, {"class": "search-snippet-title"}, [{"class": "snippet-description"}, {"class": "generic-snippet"}]),
+    "mojeek": ("", {"tag": "li", "in": {"tag": "ul", "class": "results-standard"}}, {"tag": "a", "class": "title"}, None, [{"tag": "p", "class": "s"}]),
+    "yahoo": ("", {"tag": "div", "class": "algo"}, {"tag": "a", "href": None, "in": {"tag": "div", "class": "compTitle"}}, {"tag": "h3", "class": "title"}, [{"tag": "div", "class": "compText"}]),
+}
+#: The link and snippet of the plain table layout.
+LITE_LINK, LITE_SNIPPET = "result-link", "result-snippet"
 SCHEMA = ArrayType(StructType([StructField(n, StringType()) for n in ("title", "url", "snippet")]))
 
 
@@ -52,37 +56,75 @@ def admitted(title: str, url: str) -> bool:
     return bool(title) and url.startswith("http") and bool(host) and "duckduckgo.com/y.js" not in url and not host.endswith(ENGINE_HOSTS)
 
 
+def _is(n: Node, want: dict, top: Node | None = None) -> bool:
+    for key, value in want.items():
+        if key == "tag":
+            ok = n.tag == value
+        elif key == "class":
+            ok = value in n.attrs.get("class", "").split()
+        elif key == "in":
+            ok, up = False, n.up
+            while up is not None and not ok:
+                ok, up = _is(up, value), up.up
+        else:
+            ok = key in n.attrs and (value is None or n.attrs[key] == value)
+        if not ok:
+            return False
+    return True
+
+
+def _first(n: Node, wants: list[dict]) -> Node | None:
+    return next((k for k in n.walk() if isinstance(k, Node) and k is not n and any(_is(k, w) for w in wants)), None)
+
+
+def _label(n: Node | None) -> str:
+    """Text nodes joined by blanks."""
+    return "" if n is None else " ".join(" ".join(k for k in n.walk() if isinstance(k, str)).split())
+
+
+def _lite(tree: Node) -> list[tuple[str, str, str]]:
+    """A snippet row belongs to the link row before it, if that link was admitted."""
+    out: list[list[str]] = []
+    open_hit = False
+    for tr in tree.walk():
+        if not isinstance(tr, Node) or tr.tag != "tr":
+            continue
+        a, note = _first(tr, [{"tag": "a", "class": LITE_LINK}]), _first(tr, [{"class": LITE_SNIPPET}])
+        if a is not None:
+            url = unwrap(urljoin("https://duckduckgo.com/", a.attrs.get("href", "").strip()))
+            open_hit = admitted(_label(a), url)
+            if open_hit:
+                out.append([_label(a), url, ""])
+        elif note is not None and open_hit:
+            out[-1][2] = _label(note)
+            open_hit = False
+    return [tuple(x) for x in out]
+
+
 def parse(engine: str | None, html: str | None) -> list[dict]:
-    rule = RULES.get(engine or "")
-    if not rule or not html:
+    """The admitted results of a page in their order; an unknown engine and null or empty html give none."""
+    if not html or engine not in (*RULES, "ddg-lite"):
         return []
-    marks, notes, base = rule
     tree = Tree()
     tree.feed(html)
     tree.close()
-    out: list[dict] = []
-    for n in tree.root.walk():
-        if not isinstance(n, Node):
-            continue
-        names = set(n.attrs.get("class", "").split())
-        if n.tag == "a" and n.attrs.get("href"):
-            around, up = set(names), n.up
-            for _ in range(2):
-                if up is not None:
-                    around |= set(up.attrs.get("class", "").split()) | {up.tag}
-                    up = up.up
-            inner = {c for k in n.walk() if isinstance(k, Node) for c in k.attrs.get("class", "").split()}
-            if marks & (around | inner):
-                title = " ".join(_flat(n).split())
-                url = unwrap(urljoin(base, n.attrs["href"]))
-                if admitted(title, url):
-                    out.append({"title": title, "url": url, "snippet": ""})
-                else:
-                    out.append({})  # its snippet must not go to the result before
-        elif notes & names and out and out[-1] and not out[-1]["snippet"]:
-            out[-1]["snippet"] = " ".join(_flat(n).split())
-    seen: set[str] = set()
-    return [h for h in out if h and not (h["url"] in seen or seen.add(h["url"]))]
+    if engine == "ddg-lite":
+        found = _lite(tree.root)
+    else:
+        base, result, link, named, notes = RULES[engine]
+        found = []
+        for n in tree.root.walk():
+            if isinstance(n, Node) and _is(n, result):
+                a = _first(n, [link])
+                if a is not None:
+                    url = unwrap(urljoin(base, a.attrs.get("href", "").strip()))
+                    found.append((_label((_first(n, [named]) if named else None) or a), url, _label(_first(n, notes))))
+        found = [x for x in found if admitted(x[0], x[1])]
+        if engine == "ddg" and not found:
+            # any anchor with a title of fair length
+            anchors = ((_label(n), unwrap(urljoin(base, n.attrs["href"].strip()))) for n in tree.root.walk() if isinstance(n, Node) and n.tag == "a" and n.attrs.get("href"))
+            found = [(t, u, "") for t, u in anchors if 10 <= len(t.encode()) <= 200 and admitted(t, u)]
+    return [dict(zip(("title", "url", "snippet"), x)) for x in found]
 
 
 @F.pandas_udf(SCHEMA)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import focus as X
+from ..operators import render as R
 
 #: The parameters of the focus queries: terms and paragraphs kept.
 TERMS, KEEP = ("valve", "sensor", "housing"), 3
@@ -20,8 +21,26 @@ def _values(s: SparkSession, rows: str, cols: str) -> DataFrame:
     return s.sql(f"SELECT * FROM VALUES {rows} AS t({cols})")
 
 
-def _lines(s, d):
-    return X.exploded(_docs(s, d), "doc_id", F.split("text", "\n", -1))
+def _paras():
+    return F.split("text", "\n", -1)
+
+
+def _weighted(s, d):
+    return _docs(s, d).select("doc_id", X.weights(_paras(), list(TERMS)).alias("w")).select("doc_id", "w.*")
+
+
+def _scored(s, d):
+    return _docs(s, d).select("doc_id", F.explode(X.scored(_paras(), list(TERMS))).alias("x")).select("doc_id", "x.i", "x.score")
+
+
+def _top(s, d):
+    q = _docs(s, d).select("doc_id", F.posexplode(X.best(X.scored(_paras(), list(TERMS)), KEEP)).alias("k", "x"))
+    return q.select("doc_id", "x.i", "x.score", (F.col("k") + 1).alias("rnk"))
+
+
+def _view(s, d):
+    docs = _docs(s, d)
+    return X.view(docs.withColumn("np", F.size(_paras())), "text", _paras(), list(TERMS), KEEP)
 
 
 _SQL_DOCS = r"docs AS (SELECT doc_id, regexp_replace(text, '\r\n|\r', chr(10), 'g') AS text FROM documents WHERE length(text) > 0)"
@@ -43,7 +62,7 @@ _SQL_SCORE = (
     _SQL_TF
     + ", scored AS (SELECT doc_id, i, p, n, round(("
     + " + ".join(f"tf_{k} * greatest(0.1::DOUBLE, ln((n::DOUBLE - df_{k} + 0.5::DOUBLE) / (df_{k} + 0.5::DOUBLE) + 1))" for k in range(len(TERMS)))
-    + ") * (CASE WHEN ltrim(p, ' ') LIKE '#%' THEN 2.0 WHEN ltrim(p, ' ') LIKE '**%' THEN 1.5 ELSE 1.0 END)::DOUBLE * (CASE WHEN i < 3 THEN 1.1 ELSE 1.0 END)::DOUBLE, 6) AS score FROM tf)"
+    + ") * (CASE WHEN ltrim(p, ' ') LIKE '#%' THEN 2.0 WHEN ltrim(p, ' ') LIKE '**%' THEN 1.5 ELSE 1.0 END)::DOUBLE * (CASE WHEN i < 3 THEN 1.1 ELSE 1.0 END)::DOUBLE, 9) AS score FROM tf)"
 )
 _SQL_TOP = _SQL_SCORE + f""", top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rnk
  FROM scored WHERE score > 0) WHERE rnk <= {KEEP})"""
@@ -122,18 +141,28 @@ def _table_artifact(s, d):
 
 
 def _sections(s, d):
+    """Markdown sections of pages, with the command that continues a cut one."""
     p = s.read.parquet(f"{d}/scrape_results.parquet").filter("markdown <> ''")
-    hint = F.when(
-        F.col("next_offset").isNotNull(), F.concat(F.lit("\n\n<!-- continue at offset "), F.col("next_offset").cast("string"), F.when(F.col("focused_chars") > 0, F.concat(F.lit(" of "), F.col("focused_chars").cast("string"))).otherwise(F.lit("")), F.lit(" -->"))
-    ).otherwise(F.lit(""))
-    meta = F.concat(F.lit("<!-- "), F.coalesce("page_type", F.lit("unknown")), F.lit(" "), F.col("total_chars").cast("string"), F.lit(" -->"))
-    body = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n"), meta, F.lit("\n\n"), F.col("markdown"), hint)
-    return p.select("scrape_id", body.alias("section")).distinct()
+    return p.select("scrape_id", R.page_section(R.Page.of(), SECTION_FOCUS, SECTION_CHARS).alias("section")).distinct()
+
+
+def _batch_sections(s, d):
+    """Sections of a batch, a failed page among them; pages without text count as failed ones."""
+    p = s.read.parquet(f"{d}/scrape_results.parquet").filter("url is not null")
+    error = F.when(F.coalesce("markdown", F.lit("")) == "", F.coalesce("note", F.lit("no answer")))
+    return p.select("scrape_id", R.batch_section(R.Page.of(), error, SECTION_FOCUS, SECTION_CHARS).alias("section")).distinct()
 
 
-_SECTION_SQL = """SELECT DISTINCT scrape_id, '# ' || coalesce(title, '') || chr(10) || '<!-- ' || coalesce(page_type, 'unknown') || ' ' || total_chars::VARCHAR || ' -->'
- || chr(10) || chr(10) || markdown || CASE WHEN next_offset IS NOT NULL THEN chr(10) || chr(10) || '<!-- continue at offset ' || next_offset::VARCHAR
- || CASE WHEN focused_chars > 0 THEN ' of ' || focused_chars::VARCHAR ELSE '' END || ' -->' ELSE '' END AS section FROM scrape_results WHERE markdown <> ''"""
+SECTION_FOCUS, SECTION_CHARS = "it's new", 25_000
+_HINT_SQL = (
+    "CASE WHEN next_offset IS NULL THEN ZZ ELSE chr(10) || chr(10) || Z<!-- truncated at Z || next_offset::VARCHAR || CASE WHEN focused_chars > 0 THEN Z of Z || focused_chars::VARCHAR ELSE ZZ END"
+    " || Z chars; more: brookweave scrape Z || chr(39) || replace(url, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) || Z --offset Z || next_offset::VARCHAR"
+    f" || Z --max-chars {SECTION_CHARS} --focus Z || chr(39) || ZitZ || chr(39) || chr(92) || chr(39) || chr(39) || Zs newZ || chr(39) || Z -->Z END"
+).replace("Z", "'")
+_META_SQL = "'<!-- tier: ' || coalesce(tier, '') || ' content_ok: ' || coalesce(content_ok, false)::VARCHAR || ' chars: ' || coalesce(total_chars, 0)::VARCHAR || ' -->' || chr(10) || chr(10)"
+_SECTION_SQL = f"SELECT DISTINCT scrape_id, '# ' || coalesce(title, '') || chr(10) || {_META_SQL} || markdown || coalesce({_HINT_SQL}, '') AS section FROM scrape_results WHERE markdown <> ''"
+_BATCH_SQL = f"""SELECT DISTINCT scrape_id, '## ' || url || chr(10) || CASE WHEN coalesce(markdown, '') = '' THEN '<!-- error: ' || coalesce(note, 'no answer') || ' -->' || chr(10) || chr(10) || '_fetch failed_' || chr(10)
+ ELSE {_META_SQL} || markdown || {_HINT_SQL} || chr(10) END AS section FROM scrape_results WHERE url IS NOT NULL"""
 
 
 def _stats(s, d):
@@ -162,14 +191,12 @@ def _collapse(s, d):
 
 
 QUERIES = {
-    "focus_render": lambda s, d: X.render(_lines(s, d), "doc_id", list(TERMS), KEEP),
-    "focus_terms_df": lambda s, d: X.term_weights(_lines(s, d), "doc_id", list(TERMS)).select("doc_id", "n", *(f"df_{k}" for k in range(3))).distinct(),
-    "focus_scores": lambda s, d: X.scores(_lines(s, d), "doc_id", list(TERMS)).filter("score > 0").select("doc_id", "i", "score"),
-    "focus_topk": lambda s, d: X.top_k(_lines(s, d), "doc_id", list(TERMS), KEEP).select("doc_id", "i", "score", "rnk"),
-    "focus_miss": lambda s, d: X.view(_docs(s, d), "doc_id", "text", F.split("text", "\n", -1), list(TERMS), KEEP).select("doc_id", F.length("text").cast("bigint").alias("chars"), "missed"),
-    "focus_dropped_paras": lambda s, d: X.view(_docs(s, d).withColumn("np", F.size(F.split("text", "\n", -1))), "doc_id", "text", F.split("text", "\n", -1), list(TERMS), KEEP)
-    .join(_docs(s, d).select("doc_id", F.size(F.split("text", "\n", -1)).alias("np")), "doc_id")
-    .select("doc_id", F.when(F.col("missed"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("np") - F.col("kept"))).cast("bigint").alias("dropped")),
+    "focus_render": lambda s, d: _view(s, d).filter("not missed").select("doc_id", "focused", "kept"),
+    "focus_terms_df": lambda s, d: _weighted(s, d).select("doc_id", "n", "df_0", "df_1", "df_2"),
+    "focus_scores": _scored,
+    "focus_topk": _top,
+    "focus_miss": lambda s, d: _view(s, d).select("doc_id", F.length("focused").cast("bigint").alias("chars"), "missed"),
+    "focus_dropped_paras": lambda s, d: _view(s, d).select("doc_id", F.when(F.col("missed"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("np") - F.col("kept"))).cast("bigint").alias("dropped")),
     "page_slice": lambda s, d: _docs(s, d).select("doc_id", T.take_chars(F.col("text"), 100).alias("head"), T.slice_at(F.col("text"), F.lit(100)).alias("rest")),
     "page_cut": _page_cut,
     "page_walk": _page_walk,
@@ -181,6 +208,7 @@ QUERIES = {
     "query_terms": _query_terms,
     "table_artifact": _table_artifact,
     "md_sections": _sections,
+    "batch_sections": _batch_sections,
     "batch_stats": _stats,
     "page_headings": _headings,
     "escaping": _escape,
@@ -208,6 +236,7 @@ SQL = {
     "query_terms": "SELECT * FROM (VALUES (1, 'fix|rust|borrow|checker'), (2, ''), (3, 'bc'), (4, '')) t(id, terms)",
     "table_artifact": "SELECT * FROM (VALUES (1, true), (2, false), (3, false)) t(id, artifact)",
     "md_sections": _SECTION_SQL,
+    "batch_sections": _BATCH_SQL,
     "batch_stats": """SELECT tier, count(*) AS pages, count(*) FILTER (content_ok) AS ok, sum(coalesce(length(markdown), 0))::BIGINT AS chars_out,
  sum(coalesce(length(markdown), 0) // 4)::BIGINT AS est_tokens, count(*) FILTER (NOT content_ok) = count(*) AS all_failed FROM scrape_results GROUP BY tier""",
     "page_headings": """WITH h AS (SELECT DISTINCT scrape_id, list_filter(string_split(markdown, chr(10)), lambda x: ltrim(x, ' ') LIKE '#%')[1:20] AS l FROM scrape_results WHERE markdown <> '')

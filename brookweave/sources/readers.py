@@ -131,3 +131,18 @@ def fetch_all(urls: DataFrame, fetch, parallel: int = 4) -> DataFrame:
             yield pd.DataFrame(rows, columns=["ord", "url", "status", "html", "error"])
 
     return urls.repartition(parallel).mapInPandas(run, "ord bigint, url string, status int, html string, error string").orderBy("ord")
+
+
+def pdf_result(url: str, text: str, size: str, pages: str):
+    """struct of a PDF's result: its text layer, or notes where none was read; pages are told, not applied."""
+    body = F.coalesce(F.btrim(F.col(text), F.lit(" \t\n\r\f")), F.lit(""))
+    ok = F.length(body) > 20
+    unread = F.concat(F.lit("no text extracted from PDF ("), F.col(size).cast("string"), F.lit(" bytes): pdftotext missing, or scanned/image-only PDF"))
+    return F.struct(
+        ok.alias("content_ok"),
+        body.alias("markdown"),
+        F.when(~ok, unread).otherwise(F.concat(F.lit("pages="), F.col(pages), F.lit(" not applied; whole PDF text returned"))).alias("note"),
+        F.when(~ok, F.lit("install poppler-utils (pdftotext) or use an HTML version of this document")).alias("next_action"),
+        F.length(body).alias("total_chars"),
+        F.when(ok, 0.6).otherwise(0.2).alias("quality_score"),
+    )

@@ -131,3 +131,79 @@ def test_streamed_pacing_is_the_batch_one(spark, tmp_path):
     batch = spark.createDataFrame(rows, "engine string, id bigint, ms bigint").withColumn("ts", F.timestamp_millis("ms"))
     want = {(r["engine"], r["id"], r["sleep_ms"]) for r in batch_state.pacing(batch, "engine", "ts", "id").collect()}
     assert {tuple(r) for r in spark.table("paced").collect()} == want
+
+
+def simulated_crawl(links, pages, start, depth, most, chars):
+    """The crawl of one seed, page by page."""
+    queued, frontier, out, total, n = {start}, [start], [], 0, 0
+    for level in range(depth + 1):
+        found = []
+        before = set(queued)
+        for url in frontier:
+            if n >= most or chars is not None and total >= chars:
+                return out
+            size = pages.get(url)
+            out.append((url, level, size is not None))
+            if size is None:
+                continue
+            n, total = n + 1, total + size
+            if chars is None or total <= chars:
+                best = sorted((x for x in links if x[0] == url and x[1] not in before), key=lambda x: (-x[2], x[3]))[:10]
+                for _, dst, _, _ in best:
+                    if dst not in queued:
+                        queued.add(dst)
+                        found.append(dst)
+        frontier = found
+    return out
+
+
+def test_crawl_is_the_simulated_one(spark):
+    import random
+
+    rnd = random.Random(4)
+    links = [(f"u{rnd.randrange(30)}", f"u{rnd.randrange(40)}", rnd.randrange(3), k) for k in range(260)]
+    links = list({(a, b): (a, b, s, p) for a, b, s, p in links if a != b}.values())
+    pages = {f"u{k}": rnd.randrange(10, 90) for k in range(34)}
+    df = spark.createDataFrame(links, "src string, dst string, score int, pos int")
+    pf = spark.createDataFrame(list(pages.items()), "url string, chars bigint")
+    seeds = spark.createDataFrame([("a", "u0"), ("b", "u7"), ("c", "u39")], "seed string, url string")
+    for most, chars in ((8, None), (100, 400), (100, None)):
+        got = {}
+        for r in sorted(crawl.crawl(df, pf, seeds, 2, most, chars).collect(), key=lambda r: (r["seed"], r["depth"], r["ord"])):
+            got.setdefault(r["seed"], []).append((r["url"], r["depth"], r["ok"]))
+        assert got == {s: simulated_crawl(links, pages, u, 2, most, chars) for s, u in (("a", "u0"), ("b", "u7"), ("c", "u39"))}
+
+
+def test_crawl_of_nothing(spark):
+    links = spark.createDataFrame([], "src string, dst string, score int, pos int")
+    pages = spark.createDataFrame([], "url string, chars bigint")
+    seeds = spark.createDataFrame([("a", "u0")], "seed string, url string")
+    assert [tuple(r) for r in crawl.crawl(links, pages, seeds).select("url", "ok").collect()] == [("u0", False)]
+    assert crawl.crawl(links, pages, seeds.limit(0)).count() == 0 and crawl.discover(links, seeds).count() == 1
+
+
+def test_cache_keeps_and_finds(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 5, "y")], "key string, at bigint, v string")
+    new = spark.createDataFrame([("a", 9, "z"), ("c", 2, "w")], "key string, at bigint, v string")
+    kept = batch_state.store(old, new, "key", "at", 2)
+    assert sorted(map(tuple, kept.collect())) == [("a", 9, "z"), ("b", 5, "y")]
+    cache = spark.createDataFrame([("a", 0), ("b", 3500)], "key string, s bigint").select("key", F.timestamp_seconds("s").alias("fetched"))
+    req = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id int, key string")
+    got = {r["id"]: r["_at"] is not None for r in batch_state.lookup(req, cache, "key", F.timestamp_seconds(F.lit(3700)), "fetched").collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False}
+    d = spark.range(1).select(batch_state.cooldown_ms(F.lit("ddg")).alias("a"), batch_state.cooldown_ms(F.lit("bing")).alias("b")).first()
+    assert tuple(d) == (600_000, 120_000)
+
+
+def test_infobox_comes_after_the_lead_and_html_is_sanitized():
+    page = "<article><table class='infobox'><tr><td>Born</td><td>1900</td></tr></table><p>" + "A lead of the article with words. " * 8 + "</p><p>More.</p><div onclick='x()'>In <span>it</span></div><pre>a &lt; b</pre></article>"
+    got = extract.extract(page, "https://a.example/")
+    assert got["markdown"].index("A lead") < got["markdown"].index("Born | 1900") < got["markdown"].index("More.")
+    assert "<pre><code>a &lt; b</code></pre>" in got["clean_html"] and "onclick" not in got["clean_html"] and "<span" not in got["clean_html"]
+    assert extract.noisy("a Sign_Up") and extract.noisy("vector-sidebar") and not extract.noisy("navigator-free")
+
+
+def test_literal_addresses_are_refused(spark):
+    urls = ["http://[::1]/", "http://[2606:4700::1111]/", "http://127.0.0.1/", "http://8.8.8.8/", "ftp://a.example/", "https://a.example/", "http://localhost/", None]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(U.valid(F.col("u"))).collect()]
+    assert [bool(x) for x in got] == [False, False, False, True, False, True, False, False]
