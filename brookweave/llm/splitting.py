@@ -5,7 +5,8 @@ ends at a boundary and the next one begins `overlap` tokens before it, so both s
 over the boundaries minimises the sum of cut penalties and squared deviations from an even size, under the capacity.
 Claims, paragraphs and sentences are all candidates; where two of them lie more than half a piece apart every word
 boundary between them is one as well, and where a word itself is longer than that (a sequence without any blank) the
-positions at each half piece inside it.
+positions at each half piece inside it.  Texts are sized by the tokenizer's library in the worker that cuts them, since
+a cut needs the bytes of every token, so a text travels once and pieces are slices of its bytes.
 
 Defined cases: null and empty texts and those within the capacity have no pieces here (they stay whole); a text without
 any boundary is cut by tokens; a capacity not above its overlap is an error; a first character of which the overlap
@@ -19,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import Bpe, library
+from .tokens import PATTERN, library, load_ranks, vocabulary_path
 
 #: Kinds of cuts and their penalties.
 KINDS = ("claim", "paragraph", "sentence", "word", "token")
@@ -37,6 +39,7 @@ ROWS = 256
 #: A sentence's or a line's end; a line's end may be that of a paragraph or come before a claim.
 MARK = re.compile(r"([.!?…;](?=[\s\"'”’)])|[。！？；])|\r\n?|\n|[\u2028\u2029]+")
 CLAIM = re.compile(r"[ \t]*(?:\(?\d{1,3}\s?[.)．、]\s|claim \d|\[?請求項|权利要求)", re.I)
+WORD = regex.compile(PATTERN)
 PARAGRAPH = re.compile(r"(?:[ \t]*(?:\r\n?|\n))+|(?=[ \t]*(?:\[\d{2,5}\]|【))")
 
 
@@ -62,43 +65,67 @@ def marks(text: str) -> tuple[list[int], list[int]]:
     return at, kinds
 
 
-def boundaries(text: str, ends: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(token positions, kinds) of the natural boundaries; ends and tokens are the words' cumulative sizes."""
-    best = np.full(len(ends), 3, dtype=np.int8)
-    at, kinds = marks(text)
-    if at:
-        # a mark in the middle of a word-like run (3.5, a line break before blanks) moves to the run's end
-        k = np.searchsorted(ends, at)
-        np.minimum.at(best, k[k < len(ends)], np.asarray(kinds, np.int8)[k < len(ends)])
-    return tokens, best
-
-
-def candidates(tokens: np.ndarray, kinds: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions with kinds such that no two neighbours lie further apart than room // 2."""
-    good = kinds < 3
-    pos, kind = tokens[good], kinds[good]
-    total = int(tokens[-1])
-    step = max(1, room // 2)
-    out_p, out_k = [pos], [kind]
+class Text:
+    """A text with its tokens' ends in bytes; token position k is the one after k tokens."""
+
+    def __init__(self, text: str, sizes: np.ndarray):
+        self.text, self.raw = text, text.encode("utf-8", "surrogatepass")
+        self.ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.total = len(sizes)
+        self.starts = None if len(self.raw) == len(text) else np.append(np.flatnonzero((np.frombuffer(self.raw, np.uint8) & 0xC0) != 0x80), len(self.raw))
+
+    def at(self, chars) -> np.ndarray:
+        """The byte offsets of character offsets."""
+        chars = np.asarray(chars, np.int64)
+        return chars if self.starts is None else self.starts[chars]
+
+    def boundaries(self) -> tuple[np.ndarray, np.ndarray]:
+        """(token positions, kinds) of the marks, in order and each position once with its best kind."""
+        chars, kinds = marks(self.text)
+        # a mark inside a token (a line break before blanks) moves to the token's end
+        pos = np.searchsorted(self.ends, self.at(chars))
+        best = np.full(self.total + 1, 9, np.int8)
+        np.minimum.at(best, pos, np.asarray(kinds, np.int8))
+        pos = np.flatnonzero(best < 9)
+        return pos, best[pos]
+
+    def words(self, a: int, b: int) -> np.ndarray:
+        """Token positions between a and b at which words end."""
+        low, high = int(self.ends[a]), int(self.ends[b])
+        part = self.raw[low:high].decode("utf-8", "ignore")
+        sizes = np.fromiter((len(m[0].encode("utf-8", "surrogatepass")) for m in WORD.finditer(part)), np.int64)
+        at = low + np.cumsum(sizes)
+        pos = np.searchsorted(self.ends, at)
+        pos = pos[(pos < len(self.ends)) & (self.ends[np.minimum(pos, self.total)] == at)]
+        return pos[(pos > a) & (pos < b)]
+
+    def piece(self, a: int, b: int) -> str:
+        return self.raw[int(self.ends[a]) : int(self.ends[b])].decode("utf-8", "ignore")
+
+
+def candidates(text: Text, pos: np.ndarray, kind: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions with kinds such that no two neighbours lie further apart than room // 2; the ends are among them."""
+    total, step = text.total, max(1, room // 2)
+    inside = (pos > 0) & (pos < total)
+    pos, kind = pos[inside], kind[inside]
     edge = np.concatenate([[0], pos, [total]])
-    for a, b in zip(edge[:-1], edge[1:]):
-        if b - a > step:
-            keep = tokens[np.searchsorted(tokens, a, side="right") : np.searchsorted(tokens, b)]
-            out_p.append(keep)
-            out_k.append(np.full(len(keep), 3, np.int8))
-            e2 = np.concatenate([[a], keep, [b]])
-            for c, d in zip(e2[:-1], e2[1:]):
-                if d - c > step:
-                    cuts = np.arange(c + step, d, step)
-                    out_p.append(cuts)
-                    out_k.append(np.full(len(cuts), 4, np.int8))
-    p, k = np.concatenate(out_p).astype(np.int64), np.concatenate(out_k)
-    order = np.lexsort((k, p))
-    p, k = p[order], k[order]
-    first = np.r_[True, p[1:] != p[:-1]]
-    p, k = p[first], k[first]
-    inside = (p > 0) & (p < total)
-    return np.r_[0, p[inside], total], np.r_[0, k[inside], 0]
+    wide = np.flatnonzero(np.diff(edge) > step)
+    if not len(wide):
+        return edge, np.concatenate([[0], kind, [0]])
+    out_p, out_k = [pos], [kind]
+    for i in wide.tolist():
+        a, b = int(edge[i]), int(edge[i + 1])
+        words = text.words(a, b)
+        out_p.append(words)
+        out_k.append(np.full(len(words), 3, np.int8))
+        inner = np.concatenate([[a], words, [b]])
+        for j in np.flatnonzero(np.diff(inner) > step).tolist():
+            tokens = np.arange(int(inner[j]) + step, int(inner[j + 1]), step)
+            out_p.append(tokens)
+            out_k.append(np.full(len(tokens), 4, np.int8))
+    p, k = np.concatenate(out_p), np.concatenate(out_k)
+    order = np.argsort(p, kind="stable")
+    return np.concatenate([[0], p[order], [total]]), np.concatenate([[0], k[order], [0]])
 
 
 def cuts(pos: np.ndarray, kind: np.ndarray, capacity: int, overlap: int) -> list[int]:
@@ -143,46 +170,22 @@ def cuts(pos: np.ndarray, kind: np.ndarray, capacity: int, overlap: int) -> list
     return out[::-1]
 
 
-def pieces(text: str, lens: np.ndarray, sizes: np.ndarray, limits: list[tuple[int, int, int]], encode) -> Iterator[tuple]:
-    """(limit_id, piece_no, start_token, end_token, cut, text) of each piece, for every limit that the text exceeds."""
-    tokens, ends = np.cumsum(sizes), np.cumsum(lens)
-    total = int(tokens[-1]) if len(tokens) else 0
-    limits = [x for x in limits if total > x[1]]
+def pieces(text: str, sizes: np.ndarray, limits: list[tuple[int, int, int]]) -> Iterator[tuple]:
+    """(limit_id, piece_no, start_token, end_token, cut, text) of each piece, for every limit that the text exceeds; sizes
+    are the bytes of its tokens."""
+    limits = [x for x in limits if len(sizes) > x[1]]
     if not limits:
         return
-    pos0, kind0 = boundaries(text, ends, tokens)
-    known: dict[int, tuple[bytes, np.ndarray]] = {}
-
-    def place(t: int) -> tuple[int, int]:
-        """(word that begins at or holds token t, tokens of it before t)."""
-        w = int(np.searchsorted(tokens, t, side="right"))
-        return w, t - (int(tokens[w - 1]) if w else 0)
-
-    def inside(w: int, k0: int, k1: int | None) -> str:
-        """The characters of tokens k0 to k1 of word w; each word is encoded once."""
-        if w not in known:
-            end = int(ends[w])
-            parts = encode(text[end - int(lens[w]) : end])
-            known[w] = b"".join(parts), np.cumsum([0, *map(len, parts)])
-        raw, at = known[w]
-        return raw[at[k0] : at[-1 if k1 is None else k1]].decode("utf-8", "ignore")
-
+    whole = Text(text, sizes)
+    pos0, kind0 = whole.boundaries()
     for limit_id, capacity, overlap in limits:
-        pos, kind = candidates(pos0, kind0, capacity - overlap)
-        at, no = 0, 0
-        for j in cuts(pos, kind, capacity, overlap):
+        pos, kind = candidates(whole, pos0, kind0, capacity - overlap)
+        at = 0
+        for no, j in enumerate(cuts(pos, kind, capacity, overlap)):
             end = int(pos[j])
             start = max(0, at - overlap) if no else 0
-            w0, k0 = place(start)
-            w1, k1 = place(end)
-            if w0 == w1:
-                piece = inside(w0, k0, k1)
-            else:
-                first = w0 + (k0 > 0)
-                body = text[int(ends[first - 1]) if first else 0 : int(ends[w1 - 1])]
-                piece = (inside(w0, k0, None) if k0 else "") + body + (inside(w1, 0, k1) if k1 else "")
-            yield limit_id, no, start, end, "end" if j == len(pos) - 1 else KINDS[kind[j]], piece
-            at, no = end, no + 1
+            yield limit_id, no, start, end, "end" if j == len(pos) - 1 else KINDS[kind[j]], whole.piece(start, end)
+            at = end
 
 
 def split(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, path: str | None = None) -> DataFrame:
@@ -194,35 +197,27 @@ def split(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, path:
         raise ValueError("a piece must be larger than its overlap")
     least = min((c for _, c, _ in limits), default=0)
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    bpe = Bpe(path).warm(docs)
+    ranks = spark.sparkContext.broadcast(load_ranks(vocabulary_path(path)))  # one vocabulary
     # a token has at least one byte, so shorter texts are within every limit
-    d = bpe.parts(docs.filter(F.octet_length("text") > least))
-    d = d.select("doc_id", "text", F.transform("_w", F.length).alias("lens"), bpe.sizes().alias("sizes"))
-    ranks = spark.sparkContext.broadcast(bpe.ranks)  # one vocabulary
+    d = docs.filter(F.octet_length("text") > least)
     schema = pa.schema(
         [("doc_id", pa.int64()), ("limit_id", pa.int32()), ("piece_no", pa.int32()), ("start_token", pa.int32()), ("end_token", pa.int32()), ("cut", pa.string()), ("text", pa.string())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list = []
-
-        def encode(word: str) -> list[bytes]:
-            if not made:
-                made.append(library(ranks.value))
-            return made[0].decode_tokens_bytes(made[0].encode_ordinary(word))
+        encoder = library(ranks.value)
+        bytes_of = np.zeros(max(ranks.value.values()) + 1, np.int64)
+        for token, i in ranks.value.items():
+            bytes_of[i] = len(token)
 
         def give(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for batch in batches:
-            ids, texts, lens, sizes = batch.columns
-            cut_at = lens.offsets.to_numpy()
-            lens, sizes = lens.values.to_numpy(), sizes.values.to_numpy()[sizes.offsets[0].as_py() :]
             rows, held = [], 0
-            for i in range(batch.num_rows):
-                a, b = cut_at[i], cut_at[i + 1]
-                doc = ids[i].as_py()
-                for p in pieces(texts[i].as_py(), lens[a:b], sizes[a - cut_at[0] : b - cut_at[0]], limits, encode):
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                doc, text = doc.as_py(), text.as_py()
+                for p in pieces(text, bytes_of[encoder.encode_ordinary(text)], limits):
                     rows.append((doc, *p))
                     held += len(p[-1])
                 if held > OUT_CHARS:

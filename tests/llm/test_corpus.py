@@ -266,17 +266,49 @@ def test_packer_keeps_items_whole():
     assert all(n == 1 for d, n in parts.items() if sizes[d] <= 100) and parts[501] == 3
 
 
-def test_pieces_cover_and_overlap():
-    text = "One two three. " * 400 + "x" * 300 + "\n\n" + "Four five six seven. " * 100
-    lens = [len(m[0]) for m in re.finditer(r" ?\w+|[^\w\s]+|\s+", text)]
-    sizes = [max(1, n // 3) for n in lens]
-    enc = lambda w: [w[k : k + 1].encode() for k in range(max(1, len(w) // 3))]
-    got = list(splitting.pieces(text, np.array(lens), np.array(sizes), [(1, 128, 16), (2, 10**6, 0)], enc))
-    assert {g[0] for g in got} == {1}
-    assert got[0][2] == 0 and got[-1][3] == sum(sizes)
+PIECE_TEXTS = ["One two three. " * 400 + "x" * 300 + "\n\n" + "Four five six seven. " * 100, "acgtgcta" * 900, "図書館は古い橋の近くにある。" * 60 + "naïve " * 300, "word " * 900]
+
+
+@pytest.mark.parametrize("text", PIECE_TEXTS)
+def test_pieces_cover_and_overlap(text):
+    enc = tokens.library(tokens.load_ranks(tokens.vocabulary_path()))
+    parts = enc.decode_tokens_bytes(enc.encode_ordinary(text))
+    sizes = np.array([len(x) for x in parts])
+    got = list(splitting.pieces(text, sizes, [(1, 128, 16), (2, 10**6, 0)]))
+    assert {g[0] for g in got} == {1} and got[0][2] == 0 and got[-1][3] == len(sizes)
     for a, b in zip(got, got[1:]):
-        assert b[2] == a[3] - 16 and b[3] - b[2] <= 128
-    assert list(splitting.pieces("", np.array([], int), np.array([], int), [(1, 128, 16)], enc)) == []
+        assert b[2] == a[3] - 16
+    for g in got:
+        assert 0 < g[3] - g[2] <= 128 and g[5] == b"".join(parts[g[2] : g[3]]).decode("utf-8", "ignore")
+    assert list(splitting.pieces("", np.array([], int), [(1, 128, 16)])) == []
+
+
+def test_pieces_cost_the_least():
+    # brute force over all ways to cut at the candidates
+    text = "A first part here. And a second one, longer than it was.\n\nThird words come now. " * 3
+    enc = tokens.library(tokens.load_ranks(tokens.vocabulary_path()))
+    whole = splitting.Text(text, np.array([len(x) for x in enc.decode_tokens_bytes(enc.encode_ordinary(text))]))
+    capacity, overlap = 30, 4
+    pos, kind = splitting.candidates(whole, *whole.boundaries(), capacity - overlap)
+    room = capacity - overlap
+    even = (whole.total - overlap) / -(-(whole.total - overlap) // room) / room
+    pay = [*splitting.PENALTY[kind[:-1]], 0.0]
+
+    def cost(way):
+        out, at = 0.0, 0
+        for no, j in enumerate(way):
+            size = (pos[j] - at if no else pos[j] - overlap) / room if (no or pos[j] > room) else pos[j] / room
+            if pos[j] - at > (room if no else capacity):
+                return float("inf")
+            dev = min((pos[j] / room - even) ** 2, ((pos[j] - overlap) / room - even) ** 2) if not no and pos[j] <= room else (size - even) ** 2
+            out += splitting.UNEVEN * dev + pay[j] + splitting.PIECE
+            at = pos[j]
+        return out
+
+    last = len(pos) - 1
+    inner = range(1, last)
+    best = min(cost((*w, last)) for n in range(0, 7) for w in itertools.combinations(inner, n))
+    assert abs(cost(splitting.cuts(pos, kind, capacity, overlap)) - best) < 1e-9
 
 
 def test_statistics_run_on_the_tables(spark, sf):
