@@ -3,10 +3,12 @@
 Each main body becomes the set of its distinct runs of three words, 64-bit hashed.  Records with the same set are one
 class that is compared once and named by its smallest ``scrape_id``.
 
-Candidates are complete: the runs of a set are ordered by the number of classes that hold them, the rarest first, and two
-sets of n and m runs at the wanted similarity share one of their first n - ceil(0.6 n) + 1 and m - ceil(0.6 m) + 1 runs.
-Classes that share such a run form a sub-trie; runs of a single class count in the prefix and meet nobody.  A class has
-a fingerprint of 512 bits, each the parity of the runs that fall on it, so two fingerprints differ in no more bits than
+Candidates are complete: all runs have one order, and two sets of n and m runs at the wanted similarity share one of
+their first n - ceil(0.6 n) + 1 and m - ceil(0.6 m) + 1 runs in it, whatever the order is.  It goes by the counts of a
+sketch of fixed size (COUNTERS counters over all sets, broadcast), then by hash, so that common runs come last and groups
+stay small; a count that is too high costs nothing but that.  Only the first runs are shuffled, without fingerprints, and
+those that a single class holds are dropped before these are joined.  Classes that share a run form a sub-trie.  A class
+has a fingerprint of 512 bits, each the parity of the runs that fall on it, so two fingerprints differ in no more bits than
 their sets in runs.  The first 128 bits form a binary trie per sub-trie that is joined with itself: node pairs are
 traversed together, differing bits are added up, and a pair is left as soon as they exceed a quarter of the runs of both,
 the most that the similarity allows.  The other bits, sizes and the places of the shared run bound the overlap further,
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .body import Bodies
@@ -35,6 +37,8 @@ from .common import cut
 RUN, SIMILARITY, MIN_WORDS = 3, 0.6, 50
 BITS, FINGERPRINT = 128, 512
 BLOCK, LEAF = 4096, 48
+#: Counters of the sketch and of one of its rows.
+COUNTERS, PART = 1 << 20, 1 << 15
 
 WORDS = re.compile(r"[^\W_]+")
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -77,9 +81,26 @@ def signature(runs: np.ndarray) -> tuple[bytes, int]:
     return np.packbits(bits.astype(np.uint8)).tobytes(), int(np.int64(whole.astype(np.int64)))
 
 
-def prefix(n: Column) -> Column:
+def prefix(n: int) -> int:
     """How many runs of a set of n two similar sets may go without a common one, and one more."""
-    return n - F.ceil(n * 3 / F.lit(5)).cast("int") + 1
+    return n - -(-3 * n // 5) + 1
+
+
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sketch of a task's sets, in rows of PART counters."""
+    total = np.zeros(COUNTERS, np.int64)
+    for b in batches:
+        runs = np.concatenate([np.zeros(0, np.int64), *b["runs"]])
+        total += np.bincount(runs & (COUNTERS - 1), minlength=COUNTERS)
+    rows = total.astype(np.int32).reshape(-1, PART)
+    yield pd.DataFrame({"part": range(len(rows)), "counts": [r.tobytes() for r in rows]})
+
+
+def _summed(b: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(PART, np.int64)
+    for x in b["counts"]:
+        total += np.frombuffer(x, np.int32)
+    return pd.DataFrame({"part": b["part"].iloc[:1], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
 
 def _signatures(batch: pd.DataFrame, bodies: list[list[str]]) -> pd.DataFrame:
@@ -169,7 +190,8 @@ def _join_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     budget = min(BITS, int(n.max()) // 2)
                     for i, j in trie_join(hi[a:b], lo[a:b], side[a:b] if two[a] else None, budget, bound):
                         x, y = int(ids[a + i]), int(ids[a + j])
-                        found.append((min(x, y), max(x, y)))
+                        if x != y:
+                            found.append((min(x, y), max(x, y)))
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
 
     for batch in batches:
@@ -201,14 +223,31 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """(a, b), a < b by the hash of the set: all pairs of classes that may be similar."""
-        held = self.signatures.filter("runs is not null").select("whole", F.explode("runs").alias("run")).repartition("run").dropDuplicates(["run", "whole"])
+        sets = self.signatures.filter("runs is not null").select("whole", "n_runs", "runs")
+        parts = sets.select("runs").mapInPandas(_counts, "part int, counts binary").groupBy("part").applyInPandas(_summed, "part int, counts binary").collect()
+        counts = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r["counts"], np.int32) for r in sorted(parts, key=lambda r: r["part"]))])
+        sketch = sets.sparkSession.sparkContext.broadcast(counts)  # COUNTERS counters
+
+        def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            count = sketch.value
+            for b in batches:
+                out = []
+                for runs in b["runs"]:
+                    runs = np.asarray(runs).view(np.uint64)
+                    n = prefix(len(runs))
+                    out.append(runs[np.lexsort((runs, count[runs & np.uint64(COUNTERS - 1)]))[:n]])
+                sizes = [len(x) for x in out]
+                yield pd.DataFrame(
+                    {
+                        "run": np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64),
+                        "whole": np.repeat(b["whole"].to_numpy(), sizes),
+                        "left": np.concatenate([np.zeros(0, np.int32), *(np.arange(n, n - k, -1, np.int32) for n, k in zip(b["n_runs"], sizes))]),
+                    }
+                )
+
+        held = sets.mapInPandas(firsts, "run bigint, whole bigint, left int").repartition("run").dropDuplicates(["run", "whole"])
         held = held.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run"))).filter("n > 1")
-        shared = held.groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("n", "run"))).alias("t"))
-        c = shared.join(self.classes.select("whole", "n_runs", "bits"), "whole")
-        alone = F.col("n_runs") - F.size("t")
-        first = F.slice("t", F.lit(1), F.greatest(prefix(F.col("n_runs")) - alone, F.lit(0)))
-        rows = c.select("whole", "n_runs", "bits", F.size("t").alias("k"), F.posexplode(first).alias("i", "x"))
-        rows = rows.withColumn("left", F.col("k") - F.col("i")).withColumn("run", F.col("x.run")).withColumn("blocks", F.ceil(F.col("x.n") / BLOCK).cast("int"))
+        rows = held.join(self.classes.select("whole", "n_runs", "bits"), "whole").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         own = F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int")
         rows = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         first, second = F.least("side", "other"), F.greatest("side", "other")
