@@ -1,12 +1,14 @@
 """Problem 3: lines repeated across one site's records.
 
 Every line gets a key (case, spacing, quote and emphasis marks, list marks, dates and numbers removed; the link target
-stays) and, per pair of adjacent name-like words, a variant key in which the pair is blank, so that lines which differ
-in an author's name alone share a key.  Keys whose row count cannot reach the thresholds are dropped first (exact: a
-row count bounds the number of records from above).  For the others a plain distinct count of the records per site and
-key decides.  The records of the repeated ones are then held as compressed bitmaps: containers of 32,768 ids, sparse
-ones as position arrays, dense ones as bit arrays.  They are built from the counted rows, so the lookup by which lines
-are found and deleted holds for every such row; bitmaps are not united and do not decide.
+stays) and, per run of name-like words, a variant key in which the run is blank, so that lines which differ in an
+author's name alone share a key.  Keys whose row count cannot reach the thresholds are dropped first (exact: a row count
+bounds the number of records from above).
+
+The records of each remaining line are then stored as compressed bitmaps, one per line and container of 32,768 ids:
+sparse containers as position arrays, dense ones as bit arrays.  The containers of the lines that are variants of one
+key are united, the exact cardinality of the unions is set against the thresholds, and a line is found, and deleted, by
+looking its record up in the union of one of its keys.
 
 A null ``site`` is one site.  Null or empty ``markdown`` has no lines but counts as a record of its site.  Repeated
 deliveries set a bit twice and change nothing.  Any number of records per site or line: all groups are pre-aggregated
@@ -28,6 +30,8 @@ from .common import cut, records
 MIN_RECORDS, MIN_SHARE, MIN_WORDS = 5, 0.1, 2
 #: Ids per container, and the cardinality from which a container is a bit array.
 SPAN, DENSE = 32_768, 2_048
+#: The keys that may repeat are broadcast up to so many bytes.
+BROADCAST_BYTES = 16 << 20
 
 NUMBER = re.compile(r"\d+(?:\s?[./:,\-]\s?\d+)*")
 MARKS = re.compile(r"[*_`\"'“”„«»‘’‚>]+")
@@ -68,18 +72,19 @@ def keys(line: str) -> list[tuple[int, int]]:
 def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [
-            (sid, site, no, key, filler)
+            (sid, site, no, found[0][0], key, filler)
             for sid, site, md in zip(b["scrape_id"], b["site"], b["markdown"])
             for no, line in enumerate(md.split("\n"), 1)
             if line.strip()
-            for key, filler in keys(line)
+            for found in (keys(line),)
+            for key, filler in found
         ]
-        yield pd.DataFrame(rows, columns=["scrape_id", "site", "line_no", "key", "filler"])
+        yield pd.DataFrame(rows, columns=["scrape_id", "site", "line_no", "own", "key", "filler"])
 
 
 def line_keys(pages: DataFrame) -> DataFrame:
     return records(pages).select("scrape_id", "site", "markdown").mapInPandas(
-        _explode, "scrape_id bigint, site string, line_no int, key bigint, filler bigint"
+        _explode, "scrape_id bigint, site string, line_no int, own bigint, key bigint, filler bigint"
     )
 
 
@@ -87,8 +92,8 @@ def _bucket() -> tuple:
     return F.expr(f"scrape_id div {SPAN}").alias("bucket"), F.pmod("scrape_id", F.lit(SPAN)).cast("int").alias("pos")
 
 
-def bitmaps(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bitmaps of the repeated lines: site, key, bucket, sparse, dense; the occurrences of all lines that may repeat)."""
+def lines_that_may_repeat(pages: DataFrame) -> DataFrame:
+    """(site, own, key, need, line_no, scrape_id, bucket, pos): the occurrences of keys with rows enough for the thresholds."""
     need = (
         pages.filter(F.col("scrape_id").isNotNull()).select("site", "scrape_id").distinct().groupBy("site").count()
         .select(F.coalesce("site", F.lit("")).alias("site"), F.greatest(F.lit(float(MIN_RECORDS)), F.col("count") * MIN_SHARE).alias("need"))
@@ -96,37 +101,56 @@ def bitmaps(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     lines = cut(line_keys(pages).withColumn("site", F.coalesce("site", F.lit(""))))
     bound = lines.groupBy("site", "key").agg(
-        F.count(F.lit(1)).alias("n"), (F.min("filler") != F.max("filler")).alias("varies"), F.expr("min(filler) = 0 and max(filler) = 0").alias("own")
-    )
-    # a blanked pair that never varies is no author's name
-    may = bound.join(need, "site").filter(F.col("n") >= F.col("need") - 1e-9).filter("own or varies").select("site", "key", "need")
-    rows = lines.join(may, ["site", "key"]).select("site", "key", "need", "line_no", "scrape_id", *_bucket())
-    rows = cut(rows)
-    sizes = rows.select("site", "key", "need", "bucket", "pos").distinct().groupBy("site", "key", "need", "bucket").count()
-    total = sizes.groupBy("site", "key", "need").agg(F.sum("count").alias("records")).filter(F.col("records") >= F.col("need") - 1e-9)
-    kept = cut(sizes.join(total.drop("need"), ["site", "key"]).select("site", "key", "bucket", "count"))
-    # a container is collected, never a group: at most SPAN positions, and as an array at most DENSE of them
-    inside = rows.join(kept, ["site", "key", "bucket"])
-    few = inside.filter(F.col("count") <= DENSE).groupBy("site", "key", "bucket").agg(
-        F.sort_array(F.collect_set("pos")).alias("sparse"), F.lit(None).cast("binary").alias("dense")
+        F.count(F.lit(1)).alias("n"), (F.min("filler") != F.max("filler")).alias("varies"), F.expr("min(filler) = 0 and max(filler) = 0").alias("plain")
     )
-    many = inside.filter(F.col("count") > DENSE).groupBy("site", "key", "bucket").agg(
+    # a blanked run that never varies is no author's name
+    may = bound.join(need, "site").filter(F.col("n") >= F.col("need") - 1e-9).filter("plain or varies").select("site", "key", "need")
+    may = cut(may)
+    # checked size: beyond it a sort-merge join, whose hot keys the engine splits
+    size = may.agg(F.sum(F.length("site") + 48)).first()[0] or 0
+    may = F.broadcast(may) if size <= BROADCAST_BYTES else may
+    return cut(lines.join(may, ["site", "key"]).select("site", "own", "key", "need", "line_no", "scrape_id", *_bucket()))
+
+
+def line_bitmaps(rows: DataFrame) -> DataFrame:
+    """(site, own, bucket, sparse, dense): the records of each line, by container."""
+    # a container is collected, never a line: at most SPAN positions
+    held = cut(rows.groupBy("site", "own", "bucket").agg(F.sort_array(F.collect_set("pos")).alias("sparse")))
+    few = held.filter(F.size("sparse") <= DENSE).withColumn("dense", F.lit(None).cast("binary"))
+    many = held.filter(F.size("sparse") > DENSE).select("site", "own", "bucket", F.explode("sparse").alias("pos")).groupBy("site", "own", "bucket").agg(
         F.lit(None).cast("array<int>").alias("sparse"), F.expr("bitmap_construct_agg(bitmap_bit_position(pos + 1))").alias("dense")
     )
-    return few.unionByName(many), rows
+    return few.unionByName(many)
 
 
-def _held():
-    byte = F.conv(F.hex(F.expr("substring(dense, pos div 8 + 1, 1)")), 16, 10).cast("int")
-    return F.when(F.col("dense").isNull(), F.array_contains("sparse", F.col("pos"))).otherwise(
-        F.floor(byte / F.pow(F.lit(2), F.col("pos") % 8)) % 2 == 1
+def united(rows: DataFrame) -> DataFrame:
+    """(site, key, bucket, sparse, dense): the unions of the variants' bitmaps of the keys that repeat in their site."""
+    names = rows.select("site", "key", "own", "need").distinct()
+    union = names.join(line_bitmaps(rows), ["site", "own"]).groupBy("site", "key", "need", "bucket").agg(
+        F.array_distinct(F.flatten(F.collect_list("sparse"))).alias("sparse"),
+        F.when(F.count("dense") > 0, F.expr("bitmap_or_agg(dense) filter (where dense is not null)")).alias("dense"),
     )
+    # positions of an array that the bit array does not hold come on top of it
+    extra = F.size(F.filter("sparse", lambda p: F.when(F.col("dense").isNull(), F.lit(True)).otherwise(~_bit(p))))
+    union = cut(union.withColumn("n", extra + F.coalesce(F.bitmap_count("dense"), F.lit(0))))
+    total = union.groupBy("site", "key").agg(F.sum("n").alias("records"), F.max("need").alias("need")).filter(F.col("records") >= F.col("need") - 1e-9)
+    return union.join(total.select("site", "key"), ["site", "key"]).select("site", "key", "bucket", "sparse", "dense")
+
+
+def _bit(pos):
+    """Whether the bit array has the position."""
+    byte = F.conv(F.hex(F.substring("dense", F.floor(pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.floor(byte / F.pow(F.lit(2), pos % 8)) % 2 == 1
+
+
+def _held():
+    return F.array_contains("sparse", F.col("pos")) | F.when(F.col("dense").isNotNull(), _bit(F.col("pos"))).otherwise(F.lit(False))
 
 
 def repeated_lines(pages: DataFrame) -> DataFrame:
     """(scrape_id, line_no) of every occurrence of a repeated line."""
-    maps, rows = bitmaps(pages)
-    return rows.join(maps, ["site", "key", "bucket"]).filter(_held()).select("scrape_id", "line_no").distinct()
+    rows = lines_that_may_repeat(pages)
+    return rows.join(united(rows), ["site", "key", "bucket"]).filter(_held()).select("scrape_id", "line_no").distinct()
 
 
 def without_repeats(pages: DataFrame) -> DataFrame:
