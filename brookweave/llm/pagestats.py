@@ -15,8 +15,6 @@ from .body import Bodies
 from .common import LINK, cut, table
 
 BLOCK = 1024
-#: Pages up to so many words are searched for messages.
-NOTE_WORDS = 90
 
 URL = re.compile(r"(?:https?://|www\.)[^\s<>)\]]+")
 TOKEN = re.compile(r"[^\W_]+")
@@ -32,6 +30,10 @@ CODE = re.compile(r"[{}()\[\]<>;=\\&@~^$]")
 STOP = re.compile(r"[.!?…。！？][\"'”’»)*_]*$")
 PARTS = re.compile(r"[\n,;|•]| / ")
 TAGS = re.compile(r"(?<!\S)#\w")
+LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
+WIDE_RUN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]{2,}")
+ADDRESS = re.compile(r"^\w+://[^/]*")
+PARTING = re.compile(r"(?<=[.!?…。！？])\s+")
 
 #: Forms of unfilled placeholders.
 HOLDER = re.compile(
@@ -41,22 +43,19 @@ HOLDER = re.compile(
     r"|(?i:<[a-z_ ]{1,60}\bhere>)|\bTODO:|\bTBD\b|\bFIXME\b|(?<![\w{$#])\{[A-Za-z][A-Za-z_.]+\}(?!\w)"
 )
 HINTS = ("{", "%", "[[", "<", "*|", "__", "@@", "TODO", "TBD", "FIXME", "$(", "[I", "[i", "[Y", "[y", "[E", "[e", "[A", "[a")
-#: Filler texts.
+#: Words of filler texts and of messages of servers, shields and script loaders.  Sentences that many
+#: different pages answer with are found by that evidence, so only words common to such texts stand here.
 FILLER = re.compile(
-    r"(?i)^\W*lorem ipsum dolor|\b(?:sample|dummy|demo|placeholder) (?:text|content)\b|\byour (?:headline|text|title) here\b"
-    r"|\badd a (?:short )?(?:description|text) of your\b|\bcoming soon: |\bthis block is only a placeholder|\bblindtext\b|\bihr text\b.*\bhier\b|\bhier steht ihr text"
-    r"|texte d.exemple|texto de (?:ejemplo|muestra|exemplo)|\bпример текста\b|\bprzykładowy tekst\b|\breplace it with your own"
+    r"(?i)^\W*lorem ipsum dolor|\b(?:sample|dummy|demo|placeholder) (?:text|content)\b|\byour (?:headline|text|title) here\b|\bblindtext\b"
+    r"|texte d.exemple|texto de (?:ejemplo|muestra|exemplo)|\bпример текста\b|\bprzykładowy tekst\b"
 )
 LATIN_FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum ut et ea ex".split())
-#: Messages of servers, shields and script loaders.
 NOTICE = re.compile(
-    r"(?i)\b(?:java ?scripts?|scripts?|skripte|scripty|скрипты?)\b|ブラウザ.*(?:スクリプト|有効)|脚本"
+    r"(?i)\b(?:java ?scripts?|scripts?|skripte|scripty|скрипты?)\b|スクリプト|脚本"
     r"|\b(?:40[0134]|410|429|50[0234])\b.{0,40}(?:error|find|found|server|busy|page|forbidden|gateway|internal)"
-    r"|\b(?:page|address|file) (?:was )?not found\b|could not find the page|\bnicht gefunden\b|\bintrouvable\b|\bno encontrada\b|\bnão encontrada\b|страница не найдена|nie znaleziono|verschoben oder gelöscht"
-    r"|\b(?:internal|fatal|server) error\b|\berreur (?:interne|serveur)\b|\berror (?:interno|establishing|del servidor)\b|\bfehler \d|\bbad request\b|\bbad gateway\b|\bgateway did not answer\b|\bsomething went wrong\b"
-    r"|^\W*warning: \S+\(\)|traceback \(most recent|\bcall to undefined\b|\bdown for maintenance\b|\bwartungsarbeiten\b|\ben maintenance\b|\bserver is busy\b|\btoo many requests\b"
-    r"|\bsession has expired\b|\bplease log in (?:again|to)\b|\baccess (?:is |was )?denied\b|\bforbidden\b|\bchecking your browser\b|\bunusual traffic\b|\bcaptcha\b"
-    r"|\bremoved or is not available\b|\bnot available in your (?:country|region)\b|\bloading\.\.\.|\bservice unavailable\b|\btemporarily unavailable\b|\bquota exceeded\b"
+    r"|\bnot found\b|\bnicht gefunden\b|\bintrouvable\b|\bno encontrada\b|\bnão encontrada\b|не найдена|nie znaleziono"
+    r"|\b(?:internal|fatal|server) error\b|\berreur (?:interne|serveur)\b|\berror (?:interno|del servidor)\b|\bfehler \d|\bbad (?:request|gateway)\b"
+    r"|^\W*warning: \S+\(\)|traceback \(most recent|\baccess (?:is |was )?denied\b|\bforbidden\b|\bcaptcha\b"
 )
 
 
@@ -100,6 +99,20 @@ def sentences(line: str) -> tuple[int, int, int]:
     return n, inside, max(0, len(text.strip()) - inside)
 
 
+def answer_keys(line: str) -> list[tuple[int, int]]:
+    """(key, words) of a line without numbers and marks, then of the line with each of its words blank in turn, since a
+    response may name its page or a code.  Fewer than 3 words make no message, and fewer than 5 none with a blank."""
+    words = [w if w.isalpha() else "0" for w in TOKEN.findall(line.lower())]
+    n = len(words) - words.count("0")
+    if n < 3 and not WIDE.search(line):
+        return []
+    m = (1 << 64) - 1
+    parts = [xxhash.xxh64_intdigest(w, i) for i, w in enumerate(words)]
+    total = sum(parts) & m
+    blank = [(total - p + 0x9E3779B97F4A7C15 * (i + 1)) & m for i, p in enumerate(parts) if words[i] != "0"] if n >= 5 else []
+    return [(k - (1 << 63), len(words)) for k in dict.fromkeys([total, *blank])]
+
+
 def _running(lines: list[str]) -> list[str]:
     """The lines outside code fences, without code spans."""
     out, fence = [], ""
@@ -117,11 +130,14 @@ COLUMNS = (
     "scrape_id bigint, lang string, n_chars bigint, n_words bigint, mean_word double, symbol_ratio double, punct_lines double,"
     " bullet_lines double, short_lines double, common_share double, alpha_words double, dup_lines double, n_lines int, n_items int, n_sentences int,"
     " prose_chars bigint, item_chars bigint, code_ratio double, content_words bigint, dominance double, repetition double, line_share double, segments int,"
-    " packed double, packed_bytes bigint, n_links int, linked_lines int, explained int, tags int, tokens int, placeholder string, filler boolean, notice boolean,"
-    " note_lines int, latin_share double, n_sentences_rest int, n_lines_rest int, overlap int, line_key bigint, title_hash bigint, site string"
+    " packed double, packed_bytes bigint, form double, form_bytes bigint, n_links int, linked_lines int, explained int, tags int, tokens int, placeholder string, filler boolean, note_share double,"
+    " fill_share double, answers array<struct<line:int,key:bigint,words:int>>, body_lines int, n_sentences_rest int, n_lines_rest int, overlap int, line_key bigint, title_hash bigint, site string"
 )
 
 
+NAMES = [c.split()[0] for c in re.split(r",(?![^<]*>)", COLUMNS)]
+
+
 def page(sid, site, title, url, lines: list[str], common: dict[str, tuple[str, ...]]) -> tuple:
     text = "\n".join(lines)
     rows = [x for x in lines if not HEAD.match(x)]
@@ -160,6 +176,9 @@ def page(sid, site, title, url, lines: list[str], common: dict[str, tuple[str, .
     if len(blocks) > 1 and len(blocks[-1]) < BLOCK // 4:
         blocks[-2:] = [blocks[-2] + blocks[-1]]
     packed = sum(len(zlib.compress(b, 6)) for b in blocks) / max(1, len(raw))
+    # the form: words and numbers as one sign each, what lists of bare links and tags repeat
+    shape = DIGITS.sub("0", LETTERS.sub("a", "\n".join(rest))).encode()
+    form = sum(len(zlib.compress(shape[i : i + BLOCK], 6)) for i in range(0, len(shape), BLOCK)) / max(1, len(shape))
     n_links = linked = explained = 0
     for x in rest:
         k = len(LINK.findall(x)) + len(URL.findall(LINK.sub(" ", x)))
@@ -172,16 +191,20 @@ def page(sid, site, title, url, lines: list[str], common: dict[str, tuple[str, .
     plain = [x for x in running if not HEAD.match(x) and x.strip()]
     latin = sum(count[t] for t in count.keys() & LATIN_FILLER)
     filler = latin > 0.8 * n and latin >= 6
-    notes = 0
-    notice = False
-    if len(words) <= NOTE_WORDS:  # longer pages have content besides, so a phrase tells nothing there
+    # terms of address and title that the text, its headings included, holds too
+    flat = " ".join(lines)
+    named = set(t for t in TOKEN.findall(f"{title or ''} {ADDRESS.sub('', url or '')}".lower()) if len(t) > 2 and t not in common)
+    overlap = len(named & set(TOKEN.findall(flat.lower()))) + sum(r[i : i + 2] in flat for r in WIDE_RUN.findall(title or "") for i in range(len(r) - 1))
+    noted = filled = whole = 0
+    answers: list[dict[str, int]] = []
+    if overlap <= 1:  # only a text that does not answer its address and title is searched for what stands in its place
         for x in plain:
-            fills, tells = bool(FILLER.search(x)), bool(NOTICE.search(x))
-            notes += fills or tells
-            filler = filler or fills
-            notice = notice or tells
-    named = set(t for t in TOKEN.findall(f"{title or ''} {re.sub(r'^\w+://[^/]*', '', url or '')}".lower()) if len(t) > 2 and t not in common)
-    overlap = len(named & {t for t in count if len(t) > 2})
+            for part in PARTING.split(x):
+                whole += len(part)
+                filled += len(part) * bool(FILLER.search(part))
+                noted += len(part) * bool(NOTICE.search(part))
+    if overlap == 0:
+        answers = [{"line": i, "key": k, "words": w} for i, x in enumerate(lines) for k, w in answer_keys(x)]
     key = xxhash.xxh64_intdigest(re.sub(r"\d+", "0", " ".join(bare.lower().split()))) - (1 << 63)
     ends = sum(1 for x in bare_rows if STOP.search(x[-6:]))
     k = max(1, len(rows))
@@ -190,8 +213,8 @@ def page(sid, site, title, url, lines: list[str], common: dict[str, tuple[str, .
         sum(1 for x in rows if BULLET.match(x)) / k, sum(1 for x in bare_rows if len(x) < 30) / k, common_share,
         sum(v for w, v in every.items() if not w.isdigit()) / max(1, len(words)), 1 - len(set(bare_rows)) / k, len(rows), items, n_sent,
         prose, item, len(CODE.findall(low)) / max(1, len(low)), content, dominance, repetition, line_share, len(parts),
-        packed, len(raw), n_links, linked, explained, len(TAGS.findall(low)), len(tokens), holder[0] if holder else None, filler, notice,
-        notes, latin / n, sum(t[0] for t in told[skip:]), len(rest), overlap, key, xxhash.xxh64_intdigest((title or "").strip().lower()) - (1 << 63), site,
+        packed, len(raw), form, len(shape), n_links, linked, explained, len(TAGS.findall(low)), len(tokens), holder[0] if holder else None, filler, noted / max(1, whole),
+        filled / max(1, whole), answers, sum(1 for x in lines if x.strip()), sum(t[0] for t in told[skip:]), len(rest), overlap, key, xxhash.xxh64_intdigest((title or "").strip().lower()) - (1 << 63), site,
     )
 
 
@@ -201,7 +224,7 @@ def page_stats(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None)
     words: dict[str, tuple[str, ...]] = {}
     for lang, word in table(spark, sf_dir, "common_words").select("lang", "word").collect():  # a fixed table of 177 rows
         words[word] = (*words.get(word, ()), lang)
-    names = [c.split()[0] for c in COLUMNS.split(",")]
+    names = NAMES
 
     def run(b: pd.DataFrame, bodies: list[list[str]]) -> pd.DataFrame:
         rows = [page(s, h, t, u, x, words) for s, h, t, u, x in zip(b["scrape_id"], b["site"], b["title"], b["url"], bodies)]

@@ -1,12 +1,17 @@
 """Problem 6: unfilled templates, filler text, error pages and script notices.
 
-Detectors look for placeholders in running text (not in code) and for filler.  For messages that stand instead of a
-page's content, the terms of address and title are compared with those of the body: a short body that shares none of
-them is a low-information response, and it is flagged if it holds a message of a server, shield or script loader, or if
-the same body (numbers apart) answers for many different titles, the evidence being combined over all hosts.
-
-Defined cases: null or empty markdown is no case; articles that write about such messages are long and share terms with
-their title; a null title or url shares no terms but flags nothing by itself.
+Detectors look for placeholders in running text (not in code) and for filler.  Whether a text stands instead of a page's
+content is told by comparing the terms of address and title with those of the text, headings included.
+
+A text that shares none of them is a response rather than a page.  Each of its lines is counted over the whole table,
+numbers and one further word apart: by how many different titles, and on how many hosts, it was given as such a
+response.  A line is a known response if it answered for TITLES titles on HOSTS hosts and this evidence of hosts and
+titles outweighs the information in it (WEIGHT times their sum against its words, so that a long text needs more).  A
+record is found if half of its lines are known responses.  A text that shares at most one term is found as well if words
+of messages stand in the sentences that make up half of it.
+
+Defined cases: null or empty markdown is no case; a null title or url shares no terms but flags nothing by itself; null
+hosts count as one host; repeated deliveries count once.
 """
 
 from __future__ import annotations
@@ -16,27 +21,31 @@ from pyspark.sql import functions as F
 
 from .pagestats import page_stats
 
-SHORT_WORDS, SAME_BODY, TITLES = 60, 4, 3
+TITLES, HOSTS, WEIGHT, HALF = 3, 2, 2, 0.5
+
+
+def known_responses(stats: DataFrame) -> DataFrame:
+    """(key): the lines that different pages of different hosts were answered with."""
+    seen = stats.select(F.explode("answers").alias("a"), "title_hash", F.coalesce("site", F.lit("")).alias("site")).select("a.key", "a.words", "title_hash", "site").distinct()
+    # counted by partial sums, so a response that a third of all rows share is reduced before it meets
+    n = seen.groupBy("key").agg(F.countDistinct("title_hash").alias("titles"), F.countDistinct("site").alias("hosts"), F.max("words").alias("words"))
+    return n.filter((F.col("titles") >= TITLES) & (F.col("hosts") >= HOSTS) & (WEIGHT * (F.col("titles") + F.col("hosts")) >= F.col("words"))).select("key")
 
 
 def with_evidence(stats: DataFrame) -> DataFrame:
-    """stats with same_body and titles: records, and different titles, that have this short body on any host."""
-    short = stats.filter((F.col("n_words") > 0) & (F.col("n_words") <= SHORT_WORDS) & (F.col("overlap") == 0))
-    # counted in two steps, so that a body shared by a third of all rows is reduced before it meets
-    seen = (
-        short.groupBy("line_key", "title_hash").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("line_key").agg(F.sum("n").alias("same_body"), F.count(F.lit(1)).alias("titles"))
-        .filter((F.col("same_body") >= SAME_BODY) & (F.col("titles") >= TITLES))
-    )
-    return stats.join(seen, "line_key", "left")
+    """stats with responses, the number of the record's lines that are known responses."""
+    lines = stats.select("scrape_id", F.explode("answers").alias("a")).select("scrape_id", "a.line", "a.key").join(known_responses(stats), "key")
+    n = lines.select("scrape_id", "line").distinct().groupBy("scrape_id").agg(F.count(F.lit(1)).cast("int").alias("responses"))
+    return stats.join(n, "scrape_id", "left").withColumn("responses", F.coalesce("responses", F.lit(0))).drop("answers")
+
+
+def is_response() -> Column:
+    return (F.col("overlap") == 0) & (F.col("responses") > 0) & (F.col("responses") >= HALF * F.col("body_lines"))
 
 
 def is_residue() -> Column:
-    short = F.col("n_words") <= SHORT_WORDS
-    alone = F.col("notice") & short & (F.col("note_lines") * 2 >= F.col("n_lines")) & (F.col("overlap") <= 1)
-    filler = F.col("filler") & ((F.col("note_lines") * 2 >= F.col("n_lines")) | (F.col("latin_share") > 0.8))
-    same = F.coalesce(F.col("titles") >= TITLES, F.lit(False)) & short & (F.col("overlap") == 0)
-    return F.col("placeholder").isNotNull() | filler | alone | same
+    told = (F.col("overlap") <= 1) & ((F.col("note_share") >= HALF) | (F.col("fill_share") >= HALF))
+    return F.col("placeholder").isNotNull() | F.col("filler") | told | is_response()
 
 
 def residue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
