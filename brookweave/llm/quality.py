@@ -1,10 +1,14 @@
 """Problem 1: per-document text quality statistics and the pages that are not running prose.
 
-Statistics come from one vectorised stage per page (words, word length, symbols, line ends, bullets, common words of
-the page's language); fixed-threshold rules then name every reason for which a page fails.  The thresholds are those
-published for web corpora (mean word length 3 to 10, symbol share 0.1, bullet lines 0.9, line-end punctuation 0.12,
-common words), applied where they hold in every language; whether a page is prose is read from the share of its
-characters that stand in sentences.
+Statistics come from one Python stage per batch of pages, since the body is cut there (words, word length, symbols, line
+ends, bullets, common words of the page's language); fixed-threshold rules then name every reason for which a page fails.
+The thresholds are those published for web corpora (mean word length 3 to 10, symbol share 0.1, bullet lines 0.9,
+line-end punctuation 0.12, short lines 0.67, repeated lines 0.3, common words), applied where they hold in every language.
+
+Which reasons make a page no running prose follows from the definition: NOT_PROSE.  Few words are none (short texts count
+as prose), nor are bullets whose entries are sentences, nor words and letters that a wrong encoding alone changes.  Line
+ends and short lines choose most pages; `one_sentence` finds entries after a single introductory sentence, `keywords` is
+problem 5.
 
 Defined cases: null or empty markdown has no row; a body without any line counts as prose (nothing shows otherwise);
 repeated deliveries give one row; a language without common words (ja, zh) skips that rule.
@@ -19,13 +23,13 @@ from .pagestats import page_stats
 from .residue import is_residue
 from .spam import is_spam
 
-PROSE_SHARE = 0.42
+#: The reasons that tell lists, tables and junk from prose.
+NOT_PROSE = ("line_ends", "short_lines", "one_sentence", "keywords")
 
 
-def is_listing() -> Column:
-    """Mostly entries, rows or junk: few characters stand in sentences, or one sentence alone comes before entries."""
-    share = F.col("prose_chars") / F.greatest(F.col("prose_chars") + F.col("item_chars"), F.lit(1))
-    return (F.col("item_chars") > 0) & (((share < PROSE_SHARE) & (F.col("item_chars") >= 20)) | ((F.col("n_sentences") <= 1) & (F.col("n_items") >= 4)))
+def one_sentence() -> Column:
+    """Entries or rows, after one sentence at most."""
+    return (F.col("item_chars") > 0) & (F.col("n_sentences") <= 1) & (F.col("n_items") >= 4)
 
 
 def reasons() -> Column:
@@ -42,7 +46,7 @@ def reasons() -> Column:
             rule("repeated_lines", F.col("dup_lines") > 0.3),
             rule("alphabetic_words", F.col("alpha_words") < 0.8),
             rule("common_words", spaced & (F.col("common_share") < 0.05)),
-            rule("not_prose", is_listing()),
+            rule("one_sentence", one_sentence()),
             rule("keywords", is_spam()),
         )
     )
@@ -65,4 +69,4 @@ def quality_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def not_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = judged(page_stats(spark, sf_dir))
-    return s.filter(F.exists(reasons(), lambda r: r.isin("not_prose", "keywords")) & ~is_residue()).select("scrape_id")
+    return s.filter(F.arrays_overlap(reasons(), F.array(*map(F.lit, NOT_PROSE))) & ~is_residue()).select("scrape_id")

@@ -188,11 +188,11 @@ def test_words_by_their_hashes(spark):
 
 def judge(spark, bodies):
     common = {w: ("en",) for w in "the of and to a in is was that for it with on as at by".split()}
-    names = [c.split()[0] for c in pagestats.COLUMNS.split(",")]
+    names = pagestats.NAMES
     made = [pagestats.page(i, "s", t, f"https://s.example/{t}", [x for x in b.split("\n") if x.strip()], common) for i, (t, b) in enumerate(bodies)]
     df = quality.judged(spark.createDataFrame(made, pagestats.COLUMNS))
     assert len(made[0]) == len(names)
-    return {r["scrape_id"]: r for r in df.select("scrape_id", spam.is_spam().alias("spam"), residue.is_residue().alias("res"), quality.is_listing().alias("lst")).collect()}
+    return {r["scrape_id"]: r for r in df.select("scrape_id", spam.is_spam().alias("spam"), residue.is_residue().alias("res"), F.arrays_overlap(quality.reasons(), F.array(*map(F.lit, quality.NOT_PROSE))).alias("lst")).collect()}
 
 
 def test_page_rules(spark):
@@ -217,6 +217,31 @@ def test_page_rules(spark):
     assert not got[0]["lst"] and got[1]["lst"] and not got[4]["lst"] and not got[10]["lst"]
 
 
+def test_evidence_and_redundancy_decide(spark):
+    common = {w: ("en",) for w in "the of and to a in is was that for it with on as at by".split()}
+    told = "Your session has ended. Sign in once more at {}"
+    rows = [pagestats.page(i, f"h{i % 3}", f"Title{i} number{i}", f"https://h{i % 3}.example/title{i}", [told.format(f"desk{i}")], common) for i in range(6)]
+    rows.append(pagestats.page(7, "h1", "Lone", "https://h1.example/lone", ["A word that no other page was answered with."], common))
+    rows.append(pagestats.page(8, "h1", "Session desk", "https://h1.example/session", [told.format("desk9")], common))
+    links = [f"[Place {i}](https://x{i}.example/)" for i in range(9)]
+    rows.append(pagestats.page(9, "h2", "Links", "https://h2.example/l", links, common))
+    rows.append(pagestats.page(10, "h2", "Stuffed", "https://h2.example/s", ["cheap lamp, best lamp, buy lamp, lamp sale, top lamp, lamp online"] * 12, common))
+    df = quality.judged(spark.createDataFrame(rows, pagestats.COLUMNS))
+    found = lambda d, rule: sorted(r[0] for r in d.filter(rule).select("scrape_id").collect())
+    assert found(df, residue.is_residue()) == list(range(6))
+    assert found(df.withColumn("responses", F.lit(0)), residue.is_residue()) == []
+    assert found(df, spam.is_spam()) == [9, 10]
+    assert found(df.withColumn("packed", F.col("expected")), spam.is_spam()) == [9]
+    assert found(df.withColumn("form", F.col("expected_form")), spam.is_spam()) == [10]
+
+
+def test_published_rules_choose(spark):
+    got = judge(spark, [("Rows", "\n".join(f"name{i} | {i * 7} | place{i}" for i in range(9)))])
+    assert got[0]["lst"]
+    # without the rules on line ends and entries nothing is found
+    assert set(quality.NOT_PROSE) & {"line_ends", "short_lines"} and "few_words" not in quality.NOT_PROSE
+
+
 def test_copies_of_spam_do_not_set_what_spam_is_measured_by(spark):
     rnd = random.Random(7)
     words = "stone river garden lamp winter letter travel music window paper bridge forest market silver cotton".split()
