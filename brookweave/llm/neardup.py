@@ -6,16 +6,17 @@ class that is compared once and named by its smallest ``scrape_id``.
 Candidates are complete: all runs have one order, and two sets of n and m runs at the wanted similarity share one of
 their first n - ceil(0.6 n) + 1 and m - ceil(0.6 m) + 1 runs in it, whatever the order is.  It goes by the counts of a
 sketch of fixed size (COUNTERS counters over all sets, broadcast), then by hash, so that common runs come last and groups
-stay small; a count that is too high costs nothing but that.  Only the first runs are shuffled, without fingerprints, and
-those that a single class holds are dropped before these are joined.  Classes that share a run form a sub-trie.  A class
+stay small; a count that is too high costs nothing but that.  Only the first runs are shuffled, by ranges of their hash:
+a class sends each range its fingerprint once, with its runs there.  Classes that share a run form a sub-trie.  A class
 has a fingerprint of 512 bits, each the parity of the runs that fall on it, so two fingerprints differ in no more bits than
 their sets in runs.  The first 128 bits form a binary trie per sub-trie that is joined with itself: node pairs are
 traversed together, differing bits are added up, and a pair is left as soon as they exceed a quarter of the runs of both,
 the most that the similarity allows.  The other bits, sizes and the places of the shared run bound the overlap further,
 exactly too.
 
-A sub-trie with more than BLOCK classes is joined block by block in separate tasks, all blocks with all.  Pairs within
-the bounds are checked on the whole sets.
+Pairs of sub-tries of up to LEAF classes are compared at once, over all of them.  A run that by its count more than BLOCK
+classes may hold is split: its classes fall into blocks, and all pairs of blocks are joined in separate sub-tries that
+lie in different ranges.  Pairs within the bounds are checked on the whole sets.
 
 Defined cases: null or empty markdown and bodies under MIN_WORDS words have no pairs; repeated deliveries of a
 scrape_id count once; equal bodies are pairs; ties in similarity cannot matter as every pair is listed on its own.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .body import Bodies
@@ -39,6 +40,8 @@ BITS, FINGERPRINT = 128, 512
 BLOCK, LEAF = 4096, 48
 #: Counters of the sketch and of one of its rows.
 COUNTERS, PART = 1 << 20, 1 << 15
+#: Rows of a range of runs, pairs compared at once, and the first of the two bits that hold a side.
+RANGE_ROWS, PAIRS, FLAG = 2_000_000, 1_000_000, 1 << 29
 
 WORDS = re.compile(r"[^\W_]+")
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -86,6 +89,41 @@ def prefix(n: int) -> int:
     return n - -(-3 * n // 5) + 1
 
 
+def blocked(keys: np.ndarray, left: np.ndarray, seen: np.ndarray, whole: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and lefts with those of runs that more than `block` classes may hold replaced by one per pair of blocks that
+    holds the class's own; the upper bits of left tell its side in it."""
+    hot = seen > block
+    out_k, out_l = [keys[~hot]], [left[~hot]]
+    for key, l, n in zip(keys[hot], left[hot], seen[hot]):
+        blocks = -(-int(n) // block)
+        own = (whole * 0x9E3779B97F4A7C15 & (1 << 64) - 1) % blocks
+        other = np.arange(blocks, dtype=np.uint64)
+        low, high = np.minimum(other, np.uint64(own)), np.maximum(other, np.uint64(own))
+        out_k.append(mix(key + mix(low * P1 + np.uint64(1)) + mix(high * P3 + np.uint64(2))))
+        out_l.append(np.uint32(l) | np.where(other == own, 0, np.where(other > own, FLAG, 2 * FLAG)).astype(np.uint32))
+    return np.concatenate(out_k), np.concatenate(out_l)
+
+
+def first_runs(b: pd.DataFrame, count: np.ndarray, ranges: int, block: int = BLOCK) -> pd.DataFrame:
+    """(part, whole, n, bits, runs): the first runs of each set by range, as pairs of a key and the runs left from it on."""
+    out: list[tuple] = []
+    with np.errstate(over="ignore"):
+        for whole, n, runs, bits in zip(b["whole"], b["n_runs"], b["runs"], b["bits"]):
+            runs = np.asarray(runs).view(np.uint64)
+            seen = count[runs & np.uint64(len(count) - 1)]
+            order = np.lexsort((runs, seen))[: prefix(n)]
+            keys, left = runs[order], np.arange(n, n - len(order), -1, np.uint32)
+            if seen[order[-1]] > block:
+                keys, left = blocked(keys, left, seen[order], whole, block)
+            keys = mix(keys * P2)
+            part = (keys % np.uint64(ranges)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            cells = np.stack([(keys[by] >> np.uint64(32)).astype(np.uint32), left[by]], 1)
+            edges = np.flatnonzero(np.r_[True, np.diff(part[by]) != 0, True]).tolist()
+            out.extend((int(part[by[i]]), whole, n, bits, cells[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:]))
+    return pd.DataFrame(out, columns=["part", "whole", "n", "bits", "runs"])
+
+
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The sketch of a task's sets, in rows of PART counters."""
     total = np.zeros(COUNTERS, np.int64)
@@ -161,46 +199,68 @@ def trie_join(hi: np.ndarray, lo: np.ndarray, side: np.ndarray | None = None, bu
     return out
 
 
-def _join_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by group; a group that spans batches is carried over (it holds two blocks at most)."""
-    rest: pd.DataFrame | None = None
-
-    def joined(df: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
-        if len(df):
-            g = df["grp"].to_numpy()
-            edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
-            ids, size, left = (df[c].to_numpy() for c in ("whole", "n_runs", "left"))
-            bits = np.frombuffer(b"".join(df["bits"]), ">u8").astype(np.uint64).reshape(len(df), -1)
-            hi, lo = bits[:, 0].view(np.int64), bits[:, 1].view(np.int64)
-            side, two = df["side"].to_numpy(), df["two"].to_numpy()
-            for a, b in zip(edges[:-1], edges[1:]):
-                if b - a > 1:
-                    n, r, f = size[a:b].astype(np.int64), left[a:b].astype(np.int64), bits[a:b]
-
-                    def bound(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> np.ndarray:
-                        # of n + m runs at most a quarter differ, so three eighths of n + m are common
-                        both = n[x] + n[y]
-                        good = 8 * np.minimum(np.minimum(r[x], r[y]), (both - d) // 2) >= 3 * both
-                        at = np.flatnonzero(good)
-                        d = np.bitwise_count(f[x[at]] ^ f[y[at]]).sum(axis=1, dtype=np.int64)
-                        good[at] = 4 * d <= both[at]
-                        return good
-
-                    budget = min(BITS, int(n.max()) // 2)
-                    for i, j in trie_join(hi[a:b], lo[a:b], side[a:b] if two[a] else None, budget, bound):
-                        x, y = int(ids[a + i]), int(ids[a + j])
-                        if x != y:
-                            found.append((min(x, y), max(x, y)))
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
-
-    for batch in batches:
-        df = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        last = df["grp"].to_numpy() != df["grp"].iloc[-1] if len(df) else np.zeros(0, bool)
-        rest = df[~last]
-        yield joined(df[last])
-    if rest is not None:
-        yield joined(rest)
+def _allowed(fx: np.ndarray, fy: np.ndarray) -> np.ndarray:
+    """Whether two rows of a sub-trie are to meet: in one of two blocks those of different sides alone (flags 1 and 2)."""
+    return (fx == 0) | (fx != fy)
+
+
+class Range:
+    """The classes of one range of runs, and the pairs of them that share a run within the bounds."""
+
+    def __init__(self, batches: Iterator[pd.DataFrame]):
+        parts = [b for b in batches if len(b)]
+        none = {"part": np.zeros(0, np.int32), "whole": np.zeros(0, np.int64), "n": np.zeros(0, np.int32), "bits": [], "runs": []}
+        df = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(none)
+        # a class of several batches was sent several times
+        df = df.drop_duplicates(["part", "whole"])
+        self.whole = df["whole"].to_numpy()
+        self.n = df["n"].to_numpy().astype(np.int64)
+        self.bits = np.frombuffer(b"".join(df["bits"]), ">u8").astype(np.uint64).reshape(len(df), FINGERPRINT // 64)
+        rows = np.frombuffer(b"".join(df["runs"]), np.uint32).reshape(-1, 2)
+        self.own = np.repeat(np.arange(len(df)), [len(x) // 8 for x in df["runs"]])
+        order = np.argsort(rows[:, 0], kind="stable")
+        self.key, self.own = rows[order, 0], self.own[order]
+        self.left, self.flag = (rows[order, 1] & FLAG - 1).astype(np.int64), rows[order, 1] >> 29
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Codes of the pairs of rows that may be similar: of n + m runs at most a quarter differ, so three eighths of n + m
+        are common, of those from the shared run on in both and of those that the fingerprints allow."""
+        a, b = self.own[x], self.own[y]
+        both = self.n[a] + self.n[b]
+        good = (8 * np.minimum(self.left[x], self.left[y]) >= 3 * both) & _allowed(self.flag[x], self.flag[y]) & (self.whole[a] != self.whole[b])
+        a, b = a[good], b[good]
+        code = np.unique(np.minimum(a, b) * len(self.n) + np.maximum(a, b))
+        a, b = code // len(self.n), code % len(self.n)
+        d = np.zeros(len(code), np.int64)
+        for k in range(self.bits.shape[1]):
+            d += np.bitwise_count(self.bits[a, k] ^ self.bits[b, k])
+        return code[4 * d <= self.n[a] + self.n[b]]
+
+    def pairs(self) -> pd.DataFrame:
+        edges = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1], True]) if len(self.key) else np.zeros(1, np.int64)
+        start, size = edges[:-1], np.diff(edges)
+        found = [np.zeros(0, np.int64)]
+        for s in np.unique(size[(size > 1) & (size <= LEAF)]).tolist():
+            i, j = np.triu_indices(s, 1)
+            groups = start[size == s]
+            step = max(1, PAIRS // len(i))
+            for k in range(0, len(groups), step):
+                g = groups[k : k + step, None]
+                found.append(self.near((g + i).ravel(), (g + j).ravel()))
+        for a, s in zip(start[size > LEAF].tolist(), size[size > LEAF].tolist()):
+            own = self.own[a : a + s]
+            side = self.flag[a : a + s] if self.flag[a : a + s].all() else None
+            hi, lo = self.bits[own, 0].view(np.int64), self.bits[own, 1].view(np.int64)
+            budget = min(BITS, int(self.n[own].max()) // 2)
+            xy = np.array(trie_join(hi, lo, side, budget), np.int64).reshape(-1, 2) + a
+            found.append(self.near(xy[:, 0], xy[:, 1]))
+        code = np.unique(np.concatenate(found))
+        x, y = self.whole[code // max(1, len(self.n))], self.whole[code % max(1, len(self.n))]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+
+def _join_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield Range(batches).pairs()
 
 
 class NearDuplicates:
@@ -223,42 +283,19 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """(a, b), a < b by the hash of the set: all pairs of classes that may be similar."""
-        sets = self.signatures.filter("runs is not null").select("whole", "n_runs", "runs")
+        sets = self.signatures.filter("runs is not null").select("whole", "n_runs", "runs", "bits")
         parts = sets.select("runs").mapInPandas(_counts, "part int, counts binary").groupBy("part").applyInPandas(_summed, "part int, counts binary").collect()
         counts = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r["counts"], np.int32) for r in sorted(parts, key=lambda r: r["part"]))])
         sketch = sets.sparkSession.sparkContext.broadcast(counts)  # COUNTERS counters
+        rows = sets.agg(F.sum(F.col("n_runs") - F.ceil(F.col("n_runs") * 3 / F.lit(5)) + 1)).first()[0] or 0
+        ranges = max(2 * sets.sparkSession.sparkContext.defaultParallelism, -(-int(rows) // RANGE_ROWS))
 
         def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            count = sketch.value
             for b in batches:
-                out = []
-                for runs in b["runs"]:
-                    runs = np.asarray(runs).view(np.uint64)
-                    n = prefix(len(runs))
-                    out.append(runs[np.lexsort((runs, count[runs & np.uint64(COUNTERS - 1)]))[:n]])
-                sizes = [len(x) for x in out]
-                yield pd.DataFrame(
-                    {
-                        "run": np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64),
-                        "whole": np.repeat(b["whole"].to_numpy(), sizes),
-                        "left": np.concatenate([np.zeros(0, np.int32), *(np.arange(n, n - k, -1, np.int32) for n, k in zip(b["n_runs"], sizes))]),
-                    }
-                )
-
-        held = sets.mapInPandas(firsts, "run bigint, whole bigint, left int").repartition("run").dropDuplicates(["run", "whole"])
-        held = held.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run"))).filter("n > 1")
-        rows = held.join(self.classes.select("whole", "n_runs", "bits"), "whole").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        own = F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int")
-        rows = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        first, second = F.least("side", "other"), F.greatest("side", "other")
-        rows = rows.select(
-            F.xxhash64("run", first, second).alias("grp"), "whole", "n_runs", "left", "bits", "side", (F.col("side") != F.col("other")).alias("two")
-        )
-        # rows of a two-sided group carry two = true, and a block's own group two = false
-        return (
-            rows.repartition("grp").sortWithinPartitions("grp")
-            .mapInPandas(_join_groups, "a bigint, b bigint").distinct()
-        )
+                yield first_runs(b, sketch.value, ranges)
+
+        rows = sets.mapInPandas(firsts, "part int, whole bigint, n int, bits binary, runs binary").repartitionById(ranges, "part")
+        return rows.mapInPandas(_join_ranges, "a bigint, b bigint").distinct()
 
     def links(self) -> DataFrame:
         """(a, b, similarity) of the representatives that are similar enough, checked on the whole sets."""

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,29 @@ def test_no_near_duplicate_at_the_threshold_is_lost(spark):
     assert len(want) >= 400 and got == want
 
 
+@pytest.mark.parametrize("block,leaf", [(4096, 48), (7, 48), (7, 4), (4096, 4)])
+def test_ranges_lose_no_pair(monkeypatch, block, leaf):
+    # hot runs that all sets share, small sets, blocks of few sets and sub-tries of few: the pairs stay the brute-force ones
+    monkeypatch.setattr(neardup, "LEAF", leaf)
+    r = np.random.RandomState(9)
+    sets = []
+    for k in range(60):
+        base = r.randint(0, 40, 12) if k % 3 else r.randint(0, 10**6, 30)
+        sets.append(np.unique(base))
+        sets.append(np.unique(np.r_[base[: len(base) * 4 // 5], r.randint(0, 10**6, 2)]))
+    hashed = [neardup.mix(s.astype(np.uint64) * neardup.P1) for s in sets]
+    rows = [(k, len(h), h.view(np.int64), neardup.signature(h)[0]) for k, h in enumerate(hashed)]
+    b = pd.DataFrame(rows, columns=["whole", "n_runs", "runs", "bits"])
+    count = np.bincount(np.concatenate([h & np.uint64(1023) for h in hashed]).astype(np.int64), minlength=1024).astype(np.int32)
+    sent = neardup.first_runs(pd.concat([b, b[:9]]), count, 3, block)
+    got = set()
+    for _, part in sent.groupby("part"):
+        got |= set(neardup.Range(iter([part[:40], part[40:]])).pairs().itertuples(index=False, name=None))
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 5 * len(set(sets[i]) & set(sets[j])) >= 3 * len(set(sets[i]) | set(sets[j]))}
+    assert want <= got and len(want) > 40 and all(a < b for a, b in got)
+    assert neardup.Range(iter([])).pairs().empty
+
+
 # ---------------------------------------------------------------- repeated lines
 
 
