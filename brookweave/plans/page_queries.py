@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import pages as P
+from .. import api as API
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import extract as E
@@ -149,28 +149,6 @@ def _joined_facts(s, d):
     return h.join(p, ["url", "title"], "left").select("hit_id", F.substring(F.col("at").cast("string"), 1, 10).alias("day"))
 
 
-def _judged(p: DataFrame) -> DataFrame:
-    """Adds ok, note and next_action to pages with markdown, html, links, blocked, page_type and tier."""
-    p = p.withColumn("md", F.coalesce("markdown", F.lit(""))).withColumn("html", F.coalesce("clean_html", F.lit("")))
-    kind, blocked, size = F.coalesce("page_type", F.lit("unknown")), F.coalesce("blocked", F.lit(False)), F.octet_length("html")
-    ok = P.content_ok(
-        F.octet_length(F.btrim("md", F.lit(" \t\n\r"))), P.visible_bytes(F.col("html")), size, blocked, F.lit(False), F.lit(None).cast("string"), kind, F.coalesce(F.size("links"), F.lit(0))
-    )
-    notes = P.content_notes(F.col("ok"), blocked, F.lit(False), F.coalesce("tier", F.lit("")), F.lit(None).cast("string"), size, kind)
-    return p.withColumn("ok", ok).withColumn("_x", notes).select("*", "_x.note", "_x.next_action").drop("_x")
-
-
-def _paged(p: DataFrame, terms: list[str], offset: int, limit: int) -> DataFrame:
-    """Focus (of pages that hold content), slice, cut, closed fence and the note of a miss: one row a page, no shuffle."""
-    md = F.when(F.col("ok"), F.col("md")).otherwise(F.lit(""))
-    p = X.view(p, "md", T.paragraphs(md), terms, 40).withColumn("missed", F.col("ok") & F.col("missed"))
-    p = p.withColumn("piece", T.truncate(T.slice_at(F.col("focused"), F.lit(offset)), limit))
-    cut = F.length("focused") - offset > F.length("piece")
-    p = p.withColumn("next_offset", F.when(cut, F.lit(offset) + F.length("piece")))
-    page = F.when(cut, T.close_fence(F.col("piece"))).otherwise(F.col("piece"))
-    return p.withColumn("page", F.when(F.col("missed"), F.concat(page, F.lit(f"\n\n{X.MISS}"))).otherwise(page))
-
-
 def _unique_pages(s, d, *columns: str) -> DataFrame:
     """Each record once: the ids are compared, never the texts."""
     return _t(s, d, "scrape_results").filter("scrape_id is not null").select("scrape_id", *columns).dropDuplicates(["scrape_id"])
@@ -179,7 +157,7 @@ def _unique_pages(s, d, *columns: str) -> DataFrame:
 def _pipeline(s, d):
     """The page pipeline over stored pages: validate, judge, focus, cut, headings."""
     p = _unique_pages(s, d, "url", "markdown", "clean_html", "links", "blocked", "page_type", "tier").filter(U.valid(F.col("url")))
-    p = _paged(_judged(p), ["garden", "bridge"], 0, 2500)
+    p = API.paged(API.judged(p), ["garden", "bridge"], 0, 2500)
     return p.select(
         "scrape_id", "ok", "note", "next_action", "missed", "next_offset", F.length("page").alias("chars"), F.size(T.headings(F.col("page"))).alias("n_headings"),
         F.length("md").alias("total_chars"), F.length("focused").alias("focused_chars"),
@@ -190,13 +168,32 @@ def _from_html(s, d):
     """The page pipeline from the response: validate, extract, judge, focus, cut, links, media, headings."""
     p = _unique_pages(s, d, "url", "clean_html", "blocked", "tier").filter(U.valid(F.col("url"))).withColumnRenamed("clean_html", "response")
     got = E.documents(p, "response", "url", "scrape_id", keep=["url", "blocked", "tier", "response"]).withColumnRenamed("clean_html", "sanitized").withColumnRenamed("response", "clean_html")
-    q = _paged(_judged(got), ["garden", "bridge"], 0, 2500)
+    q = API.paged(API.judged(got), ["garden", "bridge"], 0, 2500)
     return q.select(
         "scrape_id", "title", "ok", "note", "missed", "next_offset", F.length("page").alias("chars"), F.length("md").alias("total_chars"), "page_type", F.round("quality_score", 6).alias("quality"),
         F.size("links").alias("n_links"), F.size("media").alias("n_media"), F.size(T.headings(F.col("page"))).alias("n_headings"), F.length("sanitized").alias("clean_chars"),
     )
 
 
+def _scraped(s, d):
+    """The scrape verb over all responses; refused addresses are error rows."""
+    p = _unique_pages(s, d, "url", "clean_html", "blocked", "tier").withColumnRenamed("clean_html", "response")
+    r = API.scrape(p, API.ScrapeOptions(focus="garden bridge", links=True, media=True), "scrape_id")
+    return r.select("scrape_id", "content_ok", "note", "page_type", "total_chars", "next_offset", F.size("headings").alias("n_headings"))
+
+
+def _linked(s, d):
+    return API.links(_t(s, d, "scrape_results"), API.LinkOptions(filter="an"))
+
+
+def _engine_state(s, d):
+    """State of the engines after all hits; a search whose rank is 9 or more counts as blocked here."""
+    h = _t(s, d, "search_hits").filter("engine is not null and served_at is not null")
+    ms = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', served_at) div 1000")
+    old = s.createDataFrame([("ddg", 1, 9), ("none", 5, 7)], "engine string, last_ms bigint, cooldown_until_ms bigint")
+    return API.engine_state(old, h.select("engine", ms.alias("ms"), (F.col("rank") >= 9).alias("blocked")))
+
+
 def _pdf(s, d):
     """PDF bodies as results: their text, or a note where none could be read."""
     rows = [(1, "https://a.example/x.pdf", "A title of a paper.\n\nIts text goes on here.", 900, "1-2"), (2, "https://a.example/y.pdf", "  too short ", 400, None), (3, "https://a.example/z.pdf", None, 10, None)]
@@ -299,6 +296,9 @@ QUERIES = {
     "http_err_map": _errors,
     "scrape_pipeline": _pipeline,
     "scrape_from_html": _from_html,
+    "scrape_verb": _scraped,
+    "links_verb": _linked,
+    "engine_state": _engine_state,
     "pdf_result": _pdf,
     "repo_summary": _repo_summary,
     "json_answers": _answers,
@@ -338,6 +338,14 @@ SQL = {
     "http_err_map": "SELECT * FROM (VALUES (1, 'not found on GitHub'), (2, 'rate limited (secondary limit); set GITHUB_TOKEN'), (3, 'rate limited; set GITHUB_TOKEN'), (4, 'rate limited; set GITHUB_TOKEN'), (5, 'access denied (403)'), (6, 'GitHub returned HTTP 500'), (7, 'npm returned HTTP 403'), (8, 'npm returned HTTP 429')) t(id, error)",
     "json_answers": "SELECT * FROM (VALUES (1, '{\"a\": 1}', NULL), (2, NULL, 'invalid JSON from https://r.example/j'), (3, NULL, 'not found on PyPI'), (4, NULL, 'invalid JSON from https://r.example/j')) t(id, body, error)",
     "fetch_errors": "SELECT DISTINCT stat_id, CASE WHEN status BETWEEN 200 AND 299 THEN NULL WHEN status = 404 THEN 'not found on ' || coalesce(op, 'fetch') ELSE coalesce(op, 'fetch') || ' returned HTTP ' || status::VARCHAR END AS error FROM fetch_stats WHERE stat_id IS NOT NULL AND status IS NOT NULL",
+    "links_verb": r"""WITH p AS (SELECT DISTINCT scrape_id, links FROM scrape_results WHERE links IS NOT NULL AND scrape_id IS NOT NULL),
+ e AS (SELECT scrape_id, i::INT AS pos, regexp_replace(links[i + 1].href, '#.*$', '') AS href, links[i + 1].text AS text FROM p, LATERAL (SELECT unnest(range(len(links))) AS i)),
+ f AS (SELECT scrape_id, href, min(pos) AS pos, arg_min(coalesce(text, chr(0)), pos) AS t FROM e WHERE regexp_matches(href, '^https?://') GROUP BY scrape_id, href),
+ g AS (SELECT *, row_number() OVER (PARTITION BY scrape_id ORDER BY pos) AS r FROM (SELECT scrape_id, pos, href, CASE WHEN t = chr(0) THEN NULL ELSE t END AS text FROM f) WHERE contains(lower(href), 'an') OR contains(lower(coalesce(text, '')), 'an'))
+ SELECT scrape_id, pos, href, coalesce(nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), ''), '(no text)') AS text FROM g WHERE r <= 100""",
+    "engine_state": """WITH h AS (SELECT engine, date_diff('microsecond', TIMESTAMP '1970-01-01', served_at) // 1000 AS ms, rank >= 9 AS b FROM search_hits WHERE engine IS NOT NULL AND served_at IS NOT NULL
+ ), u AS (SELECT engine, ms, CASE WHEN b THEN ms + CASE WHEN engine LIKE 'ddg%' THEN 600000 ELSE 120000 END END AS c FROM h UNION ALL SELECT 'ddg', 1, 9 UNION ALL SELECT 'none', 5, 7)
+ SELECT engine, max(ms)::BIGINT AS last_ms, coalesce(max(c), 0)::BIGINT AS cooldown_until_ms FROM u GROUP BY engine""",
     "pdf_result": f"""SELECT * FROM (VALUES (1, true, 'A title of a paper.{_NL}{_NL}Its text goes on here.', 'pages=1-2 not applied; whole PDF text returned', NULL, 43, 0.6::DOUBLE), (2, false, 'too short', 'no text extracted from PDF (400 bytes): pdftotext missing, or scanned/image-only PDF', 'install poppler-utils (pdftotext) or use an HTML version of this document', 9, 0.2::DOUBLE),
  (3, false, '', 'no text extracted from PDF (10 bytes): pdftotext missing, or scanned/image-only PDF', 'install poppler-utils (pdftotext) or use an HTML version of this document', 0, 0.2::DOUBLE)) t(id, content_ok, markdown, note, next_action, total_chars, quality_score)""",
     "cache_lookup": """WITH c AS (SELECT url, max(logged_at) AS seen FROM fetch_stats WHERE url IS NOT NULL GROUP BY url), r AS (SELECT DISTINCT scrape_id, url, ingested_at FROM scrape_results WHERE scrape_id IS NOT NULL)

@@ -7,7 +7,6 @@ addresses that are not public, limits bodies, and is not used by any query here.
 from __future__ import annotations
 
 import subprocess
-import urllib.request
 from collections.abc import Iterator
 from shutil import which
 
@@ -17,11 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.urls import _public
-
-#: Most bytes of a body, seconds of a request.
-BODY_BYTES, TIMEOUT_S = 20_000_000, 15
-
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """(url): the lines of a text file without blank ones and # comments."""
@@ -83,17 +77,12 @@ class PageReader(DataSourceReader):
         return [_Urls(self.urls[i :: self.slices]) for i in range(min(self.slices, max(1, len(self.urls))))]
 
     def read(self, partition: _Urls) -> Iterator[tuple]:
-        import socket
-        from urllib.parse import urlsplit
+        from .fetch import request
 
         for url in partition.urls:
             try:
-                host = urlsplit(url).hostname or ""
-                found = {x[4][0] for x in socket.getaddrinfo(host, None)}
-                if not url.startswith(("http://", "https://")) or not found or not all(map(_public, found)):
-                    raise OSError("blocked: non-public address")
-                with urllib.request.urlopen(url, timeout=TIMEOUT_S) as r:  # noqa: S310
-                    yield url, r.status, r.read(BODY_BYTES).decode("utf-8", "replace"), None
+                f = request(url)
+                yield url, f.status, f.html, None
             except Exception as e:  # an error is a row, as one bad page must not fail the others
                 yield url, None, None, str(e)[:200]
 
@@ -116,23 +105,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PageSource)
 
 
-def fetch_all(urls: DataFrame, fetch, parallel: int = 4) -> DataFrame:
-    """(ord, url, status, html, error) in input order: fetch(url) -> (status, html), errors kept as rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for o, u in zip(b["ord"], b["url"]):
-                try:
-                    status, html = fetch(u)
-                    rows.append((o, u, status, html, None))
-                except Exception as e:
-                    rows.append((o, u, None, None, str(e)[:200]))
-            yield pd.DataFrame(rows, columns=["ord", "url", "status", "html", "error"])
-
-    return urls.repartition(parallel).mapInPandas(run, "ord bigint, url string, status int, html string, error string").orderBy("ord")
-
-
 def pdf_result(url: str, text: str, size: str, pages: str):
     """struct of a PDF's result: its text layer, or notes where none was read; pages are told, not applied."""
     body = F.coalesce(F.btrim(F.col(text), F.lit(" \t\n\r\f")), F.lit(""))

@@ -207,3 +207,87 @@ def test_literal_addresses_are_refused(spark):
     urls = ["http://[::1]/", "http://[2606:4700::1111]/", "http://127.0.0.1/", "http://8.8.8.8/", "ftp://a.example/", "https://a.example/", "http://localhost/", None]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(U.valid(F.col("u"))).collect()]
     assert [bool(x) for x in got] == [False, False, False, True, False, True, False, False]
+
+
+def test_fetch_refuses_and_follows(spark):
+    import http.server
+    import threading
+
+    import pytest
+
+    from brookweave.sources import fetch
+
+    class Site(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/go":
+                self.send_response(302)
+                self.send_header("Location", "/page?x=1")
+                self.end_headers()
+            elif self.path == "/in":
+                self.send_response(302)
+                self.send_header("Location", "http://10.0.0.1/")
+                self.end_headers()
+            else:
+                body = ("<p>é</p>" if self.path.startswith("/page") else "x" * 50).encode()
+                self.send_response(200)
+                self.send_header("Content-Type", "text/html" if self.path.startswith("/page") else "text/plain")
+                self.end_headers()
+                self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    local = lambda ip: ip == "127.0.0.1"
+    got = fetch.request(base + "/go", local)
+    assert (got.status, got.html, got.url) == (200, "<p>é</p>", base + "/page?x=1")
+    assert len(fetch.request(base + "/page", local, 4).html.encode()) <= 7
+    for url, public in ((base + "/page", lambda ip: False), (base + "/in", local), ("ftp://a.example/", local), ("http://[::1]/", local)):
+        with pytest.raises(PermissionError):
+            fetch.request(url, public)
+    with pytest.raises(ValueError):
+        fetch.request(base + "/plain", local, 10)
+    server.shutdown()
+    page = fetch.Fetched("https://a.example/", 200, "ok")
+    wall = fetch.Fetched("https://a.example/", 403, "no")
+    walled = lambda f: f.status == 403
+
+    def fails(e):
+        def run(url):
+            raise e
+
+        return run
+
+    assert fetch.ladder("u", lambda u: page, walled) == (page, "http", False)
+    assert fetch.ladder("u", lambda u: wall, walled) == (wall, "http", False)
+    assert fetch.ladder("u", lambda u: wall, walled, lambda u: page) == (page, "chrome", True)
+    assert fetch.ladder("u", fails(OSError("reset")), walled, lambda u: page)[1] == "chrome"
+    for e in (TimeoutError(), PermissionError(fetch.REFUSED)):
+        with pytest.raises(type(e)):
+            fetch.ladder("u", fails(e), walled, lambda u: page)
+    with pytest.raises(PermissionError):
+        fetch.ladder("u", lambda u: wall, walled, lambda u: fetch.Fetched("http://10.1.1.1/", 200, "in"))
+    rows = spark.createDataFrame([(1, "http://10.0.0.1/"), (0, "nope")], "ord bigint, url string")
+    assert [r["error"].split(":")[0] for r in fetch.fetch_pages(rows, 2).collect()] == ["refused", "refused"]
+
+
+def test_options_are_checked():
+    import pytest
+
+    from brookweave import api
+
+    for bad in (lambda: api.ScrapeOptions(max_chars=0), lambda: api.SearchOptions(max_results=21), lambda: api.SearchOptions(fetch=9), lambda: api.SearchOptions(freshness="decade"), lambda: api.CrawlOptions(max_pages=51), lambda: api.CrawlOptions(max_total_chars=0), lambda: api.LinkOptions(most=0)):
+        with pytest.raises(api.OptionError):
+            bad()
+    assert api.terms_of("How to (fix) C++ it's") == ["how", "fix", "it's"] and api.terms_of(None) == []
+
+
+def test_scrape_of_odd_responses(spark):
+    from brookweave import api
+
+    rows = [("https://a.example/", None, False, "http"), ("https://b.example/", "", None, None), ("http://127.0.0.1/", "<p>x</p>", False, "http"), (None, "<p>x</p>", False, "http"), ("https://c.example/", "<p>" + "Words of a page. " * 40 + "</p>", False, "http")]
+    got = {r["url"]: r for r in api.scrape(spark.createDataFrame(rows, "url string, response string, blocked boolean, tier string"), api.ScrapeOptions(max_chars=50)).collect()}
+    assert len(got) == 5 and got["https://c.example/"]["content_ok"] and got["https://c.example/"]["next_offset"] == 50
+    assert not got["http://127.0.0.1/"]["content_ok"] and got["http://127.0.0.1/"]["note"].startswith("blocked") and not got["https://a.example/"]["content_ok"]
