@@ -59,6 +59,14 @@ NOTICE = re.compile(
 )
 
 
+#: Without one of these no text matches FILLER or NOTICE.
+NOTE_HINTS = (
+    "lorem", "sample", "dummy", "demo", "placeholder", "your", "blindtext", "texte", "texto", "текста", "tekst", "script", "skript", "скрипт", "スクリプト", "脚本",
+    "40", "41", "42", "50", "found", "gefunden", "introuvable", "encontrada", "найден", "znaleziono", "error", "erreur", "fehler", "bad", "warning", "traceback",
+    "denied", "forbidden", "captcha",
+)
+
+
 def language(count: Counter, text: str, common: dict[str, tuple[str, ...]]) -> tuple[str, float]:
     """(language, share of its common words); ja and zh by script, '' where nothing tells."""
     if not count:
@@ -131,7 +139,7 @@ COLUMNS = (
     " bullet_lines double, short_lines double, common_share double, alpha_words double, dup_lines double, n_lines int, n_items int, n_sentences int,"
     " prose_chars bigint, item_chars bigint, code_ratio double, content_words bigint, dominance double, repetition double, line_share double, segments int,"
     " packed double, packed_bytes bigint, form double, form_bytes bigint, n_links int, linked_lines int, explained int, tags int, tokens int, placeholder string, filler boolean, note_share double,"
-    " fill_share double, answers array<struct<line:int,key:bigint,words:int>>, body_lines int, n_sentences_rest int, n_lines_rest int, overlap int, line_key bigint, title_hash bigint, site string"
+    " fill_share double, answers array<bigint>, answer_lines array<int>, answer_words array<int>, body_lines int, n_sentences_rest int, n_lines_rest int, overlap int, line_key bigint, title_hash bigint, site string"
 )
 
 
@@ -196,15 +204,19 @@ def page(sid, site, title, url, lines: list[str], common: dict[str, tuple[str, .
     named = set(t for t in TOKEN.findall(f"{title or ''} {ADDRESS.sub('', url or '')}".lower()) if len(t) > 2 and t not in common)
     overlap = len(named & set(TOKEN.findall(flat.lower()))) + sum(r[i : i + 2] in flat for r in WIDE_RUN.findall(title or "") for i in range(len(r) - 1))
     noted = filled = whole = 0
-    answers: list[dict[str, int]] = []
+    answers: list[tuple[int, int, int]] = []
     if overlap <= 1:  # only a text that does not answer its address and title is searched for what stands in its place
-        for x in plain:
+        whole = sum(map(len, plain))
+        low_flat = flat.lower()
+        hints = [h for h in NOTE_HINTS if h in low_flat]
+        for x in plain if hints else ():
             for part in PARTING.split(x):
-                whole += len(part)
-                filled += len(part) * bool(FILLER.search(part))
-                noted += len(part) * bool(NOTICE.search(part))
+                low_part = part.lower()
+                if any(h in low_part for h in hints):
+                    filled += len(part) * bool(FILLER.search(part))
+                    noted += len(part) * bool(NOTICE.search(part))
     if overlap == 0:
-        answers = [{"line": i, "key": k, "words": w} for i, x in enumerate(lines) for k, w in answer_keys(x)]
+        answers = [(k, i, w) for i, x in enumerate(lines) for k, w in answer_keys(x)]
     key = xxhash.xxh64_intdigest(re.sub(r"\d+", "0", " ".join(bare.lower().split()))) - (1 << 63)
     ends = sum(1 for x in bare_rows if STOP.search(x[-6:]))
     k = max(1, len(rows))
@@ -214,7 +226,7 @@ def page(sid, site, title, url, lines: list[str], common: dict[str, tuple[str, .
         sum(v for w, v in every.items() if not w.isdigit()) / max(1, len(words)), 1 - len(set(bare_rows)) / k, len(rows), items, n_sent,
         prose, item, len(CODE.findall(low)) / max(1, len(low)), content, dominance, repetition, line_share, len(parts),
         packed, len(raw), form, len(shape), n_links, linked, explained, len(TAGS.findall(low)), len(tokens), holder[0] if holder else None, filler, noted / max(1, whole),
-        filled / max(1, whole), answers, sum(1 for x in lines if x.strip()), sum(t[0] for t in told[skip:]), len(rest), overlap, key, xxhash.xxh64_intdigest((title or "").strip().lower()) - (1 << 63), site,
+        filled / max(1, whole), *(zip(*answers) if answers else ((), (), ())), sum(1 for x in lines if x.strip()), sum(t[0] for t in told[skip:]), len(rest), overlap, key, xxhash.xxh64_intdigest((title or "").strip().lower()) - (1 << 63), site,
     )
 
 

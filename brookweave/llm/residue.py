@@ -19,24 +19,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
 from .pagestats import page_stats
 
 TITLES, HOSTS, WEIGHT, HALF = 3, 2, 2, 0.5
 
 
-def known_responses(stats: DataFrame) -> DataFrame:
-    """(key): the lines that different pages of different hosts were answered with."""
-    seen = stats.select(F.explode("answers").alias("a"), "title_hash", F.coalesce("site", F.lit("")).alias("site")).select("a.key", "a.words", "title_hash", "site").distinct()
+def answered(stats: DataFrame) -> DataFrame:
+    """(scrape_id, line): the lines that different pages of different hosts were answered with."""
+    a = F.explode(F.arrays_zip("answers", "answer_lines", "answer_words")).alias("a")
+    rows = stats.filter(F.size("answers") > 0).select("scrape_id", "title_hash", F.xxhash64("site").alias("host"), a)
+    rows = rows.select("scrape_id", "title_hash", "host", F.col("a.answers").alias("key"), F.col("a.answer_lines").alias("line"), F.col("a.answer_words").alias("words"))
+    # a count of rows bounds that of titles, so most keys leave before rows travel
+    often = rows.groupBy("key").count().filter(F.col("count") >= TITLES).select("key")
+    rows = cut(rows.join(often, "key"))
     # counted by partial sums, so a response that a third of all rows share is reduced before it meets
-    n = seen.groupBy("key").agg(F.countDistinct("title_hash").alias("titles"), F.countDistinct("site").alias("hosts"), F.max("words").alias("words"))
-    return n.filter((F.col("titles") >= TITLES) & (F.col("hosts") >= HOSTS) & (WEIGHT * (F.col("titles") + F.col("hosts")) >= F.col("words"))).select("key")
+    n = rows.groupBy("key").agg(F.countDistinct("title_hash").alias("titles"), F.countDistinct("host").alias("hosts"), F.max("words").alias("words"))
+    known = n.filter((F.col("titles") >= TITLES) & (F.col("hosts") >= HOSTS) & (WEIGHT * (F.col("titles") + F.col("hosts")) >= F.col("words"))).select("key")
+    return rows.join(known, "key").select("scrape_id", "line").distinct()
 
 
 def with_evidence(stats: DataFrame) -> DataFrame:
     """stats with responses, the number of the record's lines that are known responses."""
-    lines = stats.select("scrape_id", F.explode("answers").alias("a")).select("scrape_id", "a.line", "a.key").join(known_responses(stats), "key")
-    n = lines.select("scrape_id", "line").distinct().groupBy("scrape_id").agg(F.count(F.lit(1)).cast("int").alias("responses"))
-    return stats.join(n, "scrape_id", "left").withColumn("responses", F.coalesce("responses", F.lit(0))).drop("answers")
+    n = answered(stats).groupBy("scrape_id").agg(F.count(F.lit(1)).cast("int").alias("responses"))
+    return stats.drop("answers", "answer_lines", "answer_words").join(n, "scrape_id", "left").withColumn("responses", F.coalesce("responses", F.lit(0)))
 
 
 def is_response() -> Column:
