@@ -95,11 +95,11 @@ def _page_walk_all(s, d, limit=600):
     return q.select("doc_id", "page_no", "p.offset", "p.length", F.when(end < F.col("n"), end).alias("next_offset"))
 
 
-def _page_walk(s, d, limit=600):
-    """The first page's length and the second page, as in the SQL; _page_walk_all goes on to the end."""
-    first = _doubled(s, d).withColumn("a", T.truncate(F.col("text"), limit))
-    rest = first.withColumn("r", F.substr("text", F.length("a") + 1))
-    return rest.select("doc_id", F.length("a").cast("bigint").alias("len1"), T.truncate(F.col("r"), limit).alias("page2"))
+def _page_size(t: str, limit: int) -> str:
+    """The length of the page that truncate cuts of a SQL text."""
+    head = f"substring({t}, 1, {limit})"
+    back = f"strpos(reverse({head}), chr(10) || chr(10))"
+    return f"""(CASE WHEN length({t}) <= {limit} THEN length({t}) WHEN {back} > 0 AND strlen(substring({t}, 1, {limit} - {back} - 1)) * 2 > strlen({head}) THEN {limit} - {back} - 1 ELSE {limit} END)"""
 
 
 FENCES = (
@@ -199,7 +199,6 @@ QUERIES = {
     "focus_dropped_paras": lambda s, d: _view(s, d).select("doc_id", F.when(F.col("missed"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("np") - F.col("kept"))).cast("bigint").alias("dropped")),
     "page_slice": lambda s, d: _docs(s, d).select("doc_id", T.take_chars(F.col("text"), 100).alias("head"), T.slice_at(F.col("text"), F.lit(100)).alias("rest")),
     "page_cut": _page_cut,
-    "page_walk": _page_walk,
     "page_walk_all": _page_walk_all,
     "fence_close": _fence_closed,
     "fence_state": _fence_state,
@@ -224,8 +223,9 @@ SQL = {
     "focus_dropped_paras": f"WITH {_SQL_RENDER} SELECT doc_id, CASE WHEN focused IS NULL THEN 0 ELSE greatest(0, len(string_split(text, chr(10))) - kept) END::BIGINT AS dropped FROM docs LEFT JOIN r USING (doc_id)",
     "page_slice": f"WITH {_SQL_DOCS} SELECT doc_id, substring(text, 1, 100) AS head, substring(text, 101) AS rest FROM docs",
     "page_cut": f"WITH {_SQL_DOCS}, d2 AS (SELECT doc_id, {_DOUBLED} AS t FROM docs), {_cut_sql(600)} SELECT doc_id, piece, CASE WHEN length(piece) < length(t) THEN length(piece)::BIGINT END AS next_offset FROM cut",
-    "page_walk": f"WITH {_SQL_DOCS}, d2 AS (SELECT doc_id, {_DOUBLED} AS t FROM docs), {_cut_sql(600)}, one AS (SELECT doc_id, length(piece)::BIGINT AS len1, substring(t, length(piece) + 1) AS r FROM cut), "
-    f"d3 AS (SELECT doc_id, r AS t FROM one), {_cut_sql(600).replace('cut AS', 'cut2 AS').replace('FROM d2', 'FROM d3')} SELECT doc_id, len1, piece AS page2 FROM one JOIN cut2 USING (doc_id)",
+    "page_walk_all": f"""WITH RECURSIVE {_SQL_DOCS}, w AS (SELECT doc_id, 0 AS page_no, 0::BIGINT AS at, {_DOUBLED} AS rest, {_page_size(_DOUBLED, 600)}::BIGINT AS n FROM docs
+ UNION ALL SELECT doc_id, page_no + 1, at + n, substring(rest, n + 1), {_page_size('substring(rest, n + 1)', 600)}::BIGINT FROM w WHERE n < length(rest))
+ SELECT doc_id, page_no::INT AS page_no, w.at AS "offset", n AS length, CASE WHEN n < length(rest) THEN w.at + n END AS next_offset FROM w""".replace(" at,", " pos,").replace(" at + n", " pos + n").replace("AS at", "AS pos").replace("w.at", "w.pos"),
     "fence_state": f"SELECT * FROM (VALUES {_FENCE_SQL}) t(id, ch, len)",
     "fence_close": """SELECT * FROM (VALUES (1, 'a' || chr(10) || '```py' || chr(10) || 'x' || chr(10) || '```'), (2, '```' || chr(10) || 'x' || chr(10) || '```' || chr(10) || 'end'),
  (3, '~~~~' || chr(10) || '```' || chr(10) || '~~~' || chr(10) || '~~~~' || chr(10) || 'z'), (4, 'plain'), (5, '````' || chr(10) || '```' || chr(10) || 'q' || chr(10) || '````'), (6, ''),

@@ -68,8 +68,8 @@ def _links(s, d):
     return e.filter("href is not null").withColumn("r", first).filter("r = 1").drop("r")
 
 
-def _links_filtered(s, d, most=5):
-    """At most `most` matching links of a page; the SQL holds the first 5, page_links_matching the reference's 100."""
+def _links_filtered(s, d, most=100):
+    """At most `most` matching links of a page."""
     e = _links(s, d)
     good = F.contains(F.lower("href"), F.lit("an")) | F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("an"))
     w = Window.partitionBy("scrape_id").orderBy("pos")
@@ -213,23 +213,6 @@ def _effective(s, d):
 # ---------------------------------------------------------------- crawl
 
 
-def _edges(s, d):
-    """A synthetic graph, as no link of the tables leads to another record: record and link position map to 997 nodes,
-    in the SQL alike.  It reads no address and exercises the level loop only; the real links are _site_edges."""
-    p = _t(s, d, "scrape_results").filter("scrape_id is not null").select("scrape_id", "site", "links").dropDuplicates(["scrape_id"])
-    n = F.pmod(F.col("scrape_id") * 7 + F.col("pos") * 13 + 1, F.lit(997))
-    e = p.select("scrape_id", F.posexplode("links").alias("pos", "l"))
-    return e.select(F.pmod("scrape_id", F.lit(997)).alias("src"), n.alias("dst"), F.length(F.coalesce("l.text", F.lit(""))).alias("score"), (F.col("scrape_id") * 1000 + F.col("pos")).alias("pos"))
-
-
-_EDGES_SQL = """p AS (SELECT DISTINCT scrape_id, site, links FROM scrape_results WHERE links IS NOT NULL AND scrape_id IS NOT NULL),
- e AS (SELECT scrape_id % 997 AS src, (scrape_id * 7 + i * 13 + 1) % 997 AS dst, length(coalesce(links[i + 1].text, '')) AS score, scrape_id * 1000 + i AS pos FROM p, LATERAL (SELECT unnest(range(len(links))) AS i)),
- k AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, pos) AS r FROM e) WHERE r <= 10),
- l0 AS (SELECT DISTINCT src AS node, 0 AS depth FROM (SELECT min(src) AS src FROM e)),
- l1 AS (SELECT DISTINCT dst AS node, 1 AS depth FROM k JOIN l0 ON k.src = l0.node WHERE dst NOT IN (SELECT node FROM l0)),
- l2 AS (SELECT DISTINCT dst AS node, 2 AS depth FROM k JOIN l1 ON k.src = l1.node WHERE dst NOT IN (SELECT node FROM l0 UNION ALL SELECT node FROM l1))"""
-
-
 def _site_edges(s, d):
     """Links that a crawl may follow, from the normalized address of a record to that of the link's target, each once;
     a target that is no record is a leaf.  The focus terms in the anchor score a link."""
@@ -294,11 +277,6 @@ _SITE_SQL = f"""p AS (SELECT DISTINCT scrape_id, site, url, links, markdown FROM
  s2 AS (SELECT DISTINCT dst AS node, 2 AS depth FROM k JOIN s1 ON k.src = s1.node WHERE dst NOT IN (SELECT node FROM s0 UNION ALL SELECT node FROM s1))"""
 
 
-def _bfs(s, d, depth=2):
-    e = _edges(s, d)
-    return C.bfs(e, e.select(F.min("src").alias("node")), depth)
-
-
 def _budget(s, d):
     p = _t(s, d, "scrape_results").filter("markdown <> '' and scrape_id is not null").select("scrape_id", "site", F.length("markdown").cast("bigint").alias("n")).distinct()
     return C.within_budget(p, "site", "scrape_id", "n", 20_000).select("site", "scrape_id", "used")
@@ -346,7 +324,6 @@ QUERIES = {
     "demoted_junk": lambda s, d: _values(s, "(1, 'https://www.facebook.com/x'), (2, 'https://a.example/'), (3, 'https://duckduckgo.com/y.js?ad'), (4, 'https://search.yahoo.com/x'), (5, 'nourl'), (6, 'https://news.yahoo.com/a'), (7, 'https://youtu.be/x'), (8, 'https://medium.com/a')", "id, url").select("id", S.demoted(F.col("url")).alias("demoted"), U.junk(F.col("url")).alias("junk")),
     "page_links": _links,
     "page_links_filtered": _links_filtered,
-    "page_links_matching": lambda s, d: _links_filtered(s, d, 100),
     "visible_script_len": lambda s, d: _lens(s, d).select("scrape_id", "vis", "scr"),
     "block_reason": _block,
     "serp_status": lambda s, d: _values(s, SERPS, "id, engine, status, html, n").select("id", P.serp_status(F.col("engine"), F.col("status"), F.col("html"), F.col("n")).alias("line")),
@@ -360,12 +337,9 @@ QUERIES = {
     "search_sites": _site_search,
     "effective_query": _effective,
     "low_relevance": _warning,
-    "link_graph": lambda s, d: _edges(s, d),
-    "crawl_level1": lambda s, d: _bfs(s, d, 1),
-    "crawl_bfs": _bfs,
-    "site_link_graph": lambda s, d: _site_edges(s, d).select("src", "dst", "score", "pos.scrape_id", "pos.pos"),
-    "site_crawl_level1": lambda s, d: _site_bfs(s, d, 1),
-    "site_crawl_bfs": _site_bfs,
+    "link_graph": lambda s, d: _site_edges(s, d).select("src", "dst", "score", "pos.scrape_id", "pos.pos"),
+    "crawl_level1": lambda s, d: _site_bfs(s, d, 1),
+    "crawl_bfs": _site_bfs,
     "site_crawl": _crawl,
     "site_discover": _discovered,
     "sitemap_crawl": _sitemap_crawl,
@@ -398,8 +372,7 @@ SQL = {
     "site_exclude": f"SELECT DISTINCT scrape_id FROM scrape_results WHERE NOT (regexp_replace({_HOST.format('url')}, '^www\\.', '') IN ('droldorkol-hub.example', 'blog.nulond-ga.example') OR {_HOST.format('url')} LIKE '%.droldorkol-hub.example' OR {_HOST.format('url')} LIKE '%.blog.nulond-ga.example')",
     "demoted_junk": "SELECT * FROM (VALUES (1, true, false), (2, false, false), (3, false, true), (4, false, true), (5, false, true), (6, false, false), (7, true, false), (8, false, false)) t(id, demoted, junk)",
     "page_links": f"WITH {_LINKS_SQL} SELECT * FROM l",
-    "page_links_filtered": f"WITH {_LINKS_SQL} SELECT scrape_id, pos, href, CASE WHEN coalesce(text, '') = '' THEN '(no text)' ELSE substring(text, 1, 100) END AS text FROM (SELECT *, row_number() OVER (PARTITION BY scrape_id ORDER BY pos) AS r FROM l WHERE contains(lower(href), 'an') OR contains(lower(coalesce(text, '')), 'an')) WHERE r <= 5",
-    "page_links_matching": f"WITH {_LINKS_SQL} SELECT scrape_id, pos, href, CASE WHEN coalesce(text, '') = '' THEN '(no text)' ELSE substring(text, 1, 100) END AS text FROM (SELECT *, row_number() OVER (PARTITION BY scrape_id ORDER BY pos) AS r FROM l WHERE contains(lower(href), 'an') OR contains(lower(coalesce(text, '')), 'an')) WHERE r <= 100",
+    "page_links_filtered": f"WITH {_LINKS_SQL} SELECT scrape_id, pos, href, CASE WHEN coalesce(text, '') = '' THEN '(no text)' ELSE substring(text, 1, 100) END AS text FROM (SELECT *, row_number() OVER (PARTITION BY scrape_id ORDER BY pos) AS r FROM l WHERE contains(lower(href), 'an') OR contains(lower(coalesce(text, '')), 'an')) WHERE r <= 100",
     "visible_script_len": f"WITH {_LENS_SQL} SELECT scrape_id, vis, scr FROM v",
     "block_reason": "SELECT * FROM (VALUES (1, 'HTTP 403 from origin'), (2, 'near-empty response body'), (3, 'bot interstitial text'), (4, NULL), (5, 'thin body dominated by scripts (100B text vs 1608B script) - challenge page or client-rendered shell'), (6, 'HTTP 429 from origin'), (7, 'PerimeterX challenge page')) t(id, reason)",
     "serp_status": "SELECT * FROM (VALUES (1, 'ddg:ok:5'), (2, 'bing:blocked:http429'), (3, 'ddg:blocked:anomaly'), (4, 'yahoo:timeout'), (5, 'brave:error:http500'), (6, 'mojeek:empty'), (7, 'bing:blocked:http202'), (8, 'brave:ok:3'), (9, 'yahoo:blocked:captcha'), (10, 'bing:blocked:cloudflare')) t(id, line)",
@@ -425,12 +398,9 @@ SQL = {
     "search_sites": f"""WITH {_RANK_SQL}, r2 AS (SELECT * FROM ranked WHERE NOT (regexp_replace({_HOST.format('url')}, '^www\\.', '') IN ('blog.nulond-ga.example', 'sedarm-be.example') OR {_HOST.format('url')} LIKE '%.blog.nulond-ga.example' OR {_HOST.format('url')} LIKE '%.sedarm-be.example')),
  z2 AS (SELECT * FROM (SELECT *, count(*) FILTER (cov > 0) OVER (PARTITION BY search_id) AS nz FROM r2) WHERE nz < 3 OR cov > 0)
  SELECT search_id, pos::INT AS pos, key, score FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY score DESC, first_seq) AS pos FROM z2) WHERE pos <= 10""",
-    "link_graph": f"WITH {_EDGES_SQL} SELECT src, dst, score::INT AS score, pos FROM e",
-    "crawl_level1": f"WITH {_EDGES_SQL} SELECT * FROM l0 UNION ALL SELECT * FROM l1",
-    "crawl_bfs": f"WITH {_EDGES_SQL} SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2",
-    "site_link_graph": f"WITH {_SITE_SQL} SELECT src, dst, score::INT AS score, pos.scrape_id AS scrape_id, pos.pos::INT AS pos FROM edges",
-    "site_crawl_level1": f"WITH {_SITE_SQL} SELECT * FROM s0 UNION ALL SELECT * FROM s1",
-    "site_crawl_bfs": f"WITH {_SITE_SQL} SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2",
+    "link_graph": f"WITH {_SITE_SQL} SELECT src, dst, score::INT AS score, pos.scrape_id AS scrape_id, pos.pos::INT AS pos FROM edges",
+    "crawl_level1": f"WITH {_SITE_SQL} SELECT * FROM s0 UNION ALL SELECT * FROM s1",
+    "crawl_bfs": f"WITH {_SITE_SQL} SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2",
     "site_discover": f"""WITH {_SITE_SQL}, a AS (SELECT seed, url, 0 AS l FROM seeds), b AS (SELECT DISTINCT seed, dst AS url, 1 AS l FROM a JOIN edges ON src = url WHERE (seed, dst) NOT IN (SELECT (seed, url) FROM a))
  SELECT seed, url FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY l, url) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE r <= 10""",
     "sitemap_crawl": f"""WITH {_SITE_SQL}, m AS (SELECT site AS seed, {_norm_expr('url')} AS url, min(scrape_id) AS ord FROM p WHERE site IS NOT NULL GROUP BY 1, 2),

@@ -87,18 +87,18 @@ def test_site_crawl_reads_the_addresses(spark, tmp_path):
     pages += [(k, f"s{k}.example", f"https://s{k}.example/", [link("/one")]) for k in range(10, n)]
     spark.createDataFrame(pages + pages[:1], "scrape_id bigint, site string, url string, links array<struct<href string, text string>>").write.parquet(f"{tmp_path}/scrape_results.parquet")
     q = registry.queries()
-    graph = q["site_link_graph"](spark, str(tmp_path)).collect()
+    graph = q["link_graph"](spark, str(tmp_path)).collect()
     assert len(graph) == 12 + 2 + n - 10 and ("https://a.example/p3", "https://a.example/p3/deep") in {(r["src"], r["dst"]) for r in graph}
-    found = {r["node"]: r["depth"] for r in q["site_crawl_bfs"](spark, str(tmp_path)).collect() if "//a." in r["node"]}
+    found = {r["node"]: r["depth"] for r in q["crawl_bfs"](spark, str(tmp_path)).collect() if "//a." in r["node"]}
     assert found == {"https://a.example": 0, "https://a.example/late": 1, **{f"https://a.example/p{k}": 1 for k in range(9)}, "https://a.example/p3/deep": 2}
-    assert q["site_crawl_level1"](spark, str(tmp_path)).count() == 1 + 1 + 10 + 2 * (n - 10)
+    assert q["crawl_level1"](spark, str(tmp_path)).count() == 1 + 1 + 10 + 2 * (n - 10)
 
 
 def test_matching_links_up_to_a_hundred(spark, tmp_path):
     pages = [(1, [{"href": f"/an{k}", "text": None} for k in range(104)] + [{"href": "/an3", "text": "x"}]), (2, [{"href": "/b", "text": "Many"}, {"href": "/c", "text": "x"}]), (3, None)]
     df = spark.createDataFrame(pages, "scrape_id bigint, links array<struct<href string, text string>>").withColumn("url", F.lit("https://a.example/"))
     df.write.parquet(f"{tmp_path}/scrape_results.parquet")
-    got = {(r["scrape_id"], r["pos"]) for r in registry.queries()["page_links_matching"](spark, str(tmp_path)).collect()}
+    got = {(r["scrape_id"], r["pos"]) for r in registry.queries()["page_links_filtered"](spark, str(tmp_path)).collect()}
     assert got == {(1, k) for k in range(100)} | {(2, 0)}
 
 
