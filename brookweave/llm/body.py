@@ -26,9 +26,9 @@ from .common import LINK, aligned, blocks, bounded_sample, cut, records
 
 #: Share of the smoothed score that comes from the wrapper, and the part of a site's best score a content path reaches.
 SMOOTH, THRESHOLD = 0.6, 0.35
-#: The line model: pages in its sample (bound), buckets of hashed features, passes.
+#: The line model: pages in its sample and bytes of each (bounds), buckets of hashed features, passes.
 BROADCAST_BYTES = 16 << 20
-SAMPLE_PAGES, BUCKETS, PASSES = 2000, 1 << 17, 3
+SAMPLE_PAGES, SAMPLE_BYTES, BUCKETS, PASSES = 2000, 65_536, 1 << 17, 3
 
 END = re.compile(r"[.!?。！？…:;,、，]")
 WORD = re.compile(r"[^\W\d_]+|\d+")
@@ -190,8 +190,9 @@ def outside(markdown: str, source: str | None, good: list[str] | None, w: np.nda
 
 
 def line_model(pages: DataFrame, good: DataFrame) -> np.ndarray | None:
-    """Fit the line model on about SAMPLE_PAGES pages (at most twice as many), chosen by hash, at every size."""
-    wrapped = pages.filter(F.col("clean_html").rlike(r"(?i)<(div|nav|article|aside|section|main|footer|header)\b"))
+    """Fit the line model on about SAMPLE_PAGES pages of up to SAMPLE_BYTES, chosen by hash, at every size."""
+    small = pages.filter(F.octet_length("markdown") + F.octet_length("clean_html") <= SAMPLE_BYTES)
+    wrapped = small.filter(F.col("clean_html").rlike(r"(?i)<(div|nav|article|aside|section|main|footer|header)\b"))
     some = bounded_sample(wrapped.select("scrape_id", "site", "markdown", "clean_html"), "scrape_id", SAMPLE_PAGES)
     some = some.withColumn("h", F.xxhash64("scrape_id"))
     joined = some.join(good, some["site"].eqNullSafe(good["site"])).select("h", "markdown", "clean_html", "content_paths")

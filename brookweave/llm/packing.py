@@ -26,7 +26,9 @@ from pyspark.sql.types import LongType
 from .common import cut, table
 from .tokens import Bpe
 
-BITS, CHUNK, OPEN = 10, 512, 256
+BITS = 10
+#: Neighbours that are packed largest first, and containers that stay open; both decide about fill alone.
+CHUNK, OPEN = 512, 256
 #: Tokens of one range partition.
 PART_TOKENS = 24_000_000
 
@@ -117,7 +119,7 @@ def pack(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> Dat
     limits = [(r["limit_id"], r["capacity"]) for r in table(spark, sf_dir, "size_limits").filter("purpose = 'container'").collect()]  # fixed
     sized = measured(docs)
     total = sized.agg(F.sum("tokens")).first()[0] or 0
-    parts = max(1, min(100_000, int(total // PART_TOKENS) + 1))
+    parts = int(total // PART_TOKENS) + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = TaskContext.get().partitionId() << 32
