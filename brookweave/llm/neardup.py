@@ -37,7 +37,7 @@ from .common import cut
 
 RUN, SIMILARITY, MIN_WORDS = 3, 0.6, 50
 BITS, FINGERPRINT = 128, 512
-BLOCK, LEAF = 4096, 48
+BLOCK, LEAF = 4096, 512
 #: Counters of the sketch and of one of its rows.
 COUNTERS, PART = 1 << 20, 1 << 15
 #: Rows of a range of runs, pairs compared at once, and the first of the two bits that hold a side.
@@ -157,10 +157,10 @@ def _signatures(batch: pd.DataFrame, bodies: list[list[str]]) -> pd.DataFrame:
 # ---------------------------------------------------------------- the trie
 
 
-def trie_join(hi: np.ndarray, lo: np.ndarray, side: np.ndarray | None = None, budget: int = BITS, bound=None) -> list[tuple[int, int]]:
+def trie_join(hi: np.ndarray, lo: np.ndarray, side: np.ndarray | None = None, budget: int = BITS, bound=None) -> np.ndarray:
     """Index pairs of fingerprints within the Hamming budget; with sides, only pairs of different sides.
 
-    bound(x, y, differing bits) tells which of the index pairs to keep.
+    bound(x, y) tells which of the index pairs to keep.
 
     A node is a range of the sorted fingerprints at a depth.  Ranges of up to LEAF entries are compared directly.
     """
@@ -168,7 +168,7 @@ def trie_join(hi: np.ndarray, lo: np.ndarray, side: np.ndarray | None = None, bu
     bits = np.unpackbits(np.stack([hi[order], lo[order]], 1).astype(">i8").view(np.uint8).reshape(len(order), 16), axis=1)
     h, w = hi[order].view(np.uint64), lo[order].view(np.uint64)
     s = None if side is None else side[order]
-    out: list[tuple[int, int]] = []
+    out = [np.zeros((0, 2), np.int64)]
     # (first node's range, second node's range, depth, differing bits so far)
     todo = [(0, len(order), 0, len(order), 0, 0)]
     while todo:
@@ -185,9 +185,9 @@ def trie_join(hi: np.ndarray, lo: np.ndarray, side: np.ndarray | None = None, bu
             i, j = i[once], j[once]
             x, y = order[a0 + i], order[b0 + j]
             if bound is not None:
-                good = bound(x, y, d[i, j])
+                good = bound(x, y)
                 x, y = x[good], y[good]
-            out.extend(zip(x.tolist(), y.tolist()))
+            out.append(np.stack([x, y], 1))
             continue
         am = a0 + int(np.searchsorted(bits[a0:a1, depth], 1))
         bm = b0 + int(np.searchsorted(bits[b0:b1, depth], 1))
@@ -196,7 +196,7 @@ def trie_join(hi: np.ndarray, lo: np.ndarray, side: np.ndarray | None = None, bu
         todo.append((a0, am, bm, b1, depth + 1, diff + 1))
         if (a0, a1) != (b0, b1):
             todo.append((am, a1, b0, bm, depth + 1, diff + 1))
-    return out
+    return np.concatenate(out)
 
 
 def _allowed(fx: np.ndarray, fy: np.ndarray) -> np.ndarray:
@@ -216,25 +216,32 @@ class Range:
         self.whole = df["whole"].to_numpy()
         self.n = df["n"].to_numpy().astype(np.int64)
         self.bits = np.frombuffer(b"".join(df["bits"]), ">u8").astype(np.uint64).reshape(len(df), FINGERPRINT // 64)
+        self.columns = np.ascontiguousarray(self.bits.T)
         rows = np.frombuffer(b"".join(df["runs"]), np.uint32).reshape(-1, 2)
         self.own = np.repeat(np.arange(len(df)), [len(x) // 8 for x in df["runs"]])
         order = np.argsort(rows[:, 0], kind="stable")
         self.key, self.own = rows[order, 0], self.own[order]
-        self.left, self.flag = (rows[order, 1] & FLAG - 1).astype(np.int64), rows[order, 1] >> 29
+        self.left, self.flag = (rows[order, 1] & FLAG - 1).astype(np.int32), rows[order, 1] >> 29
+        self.size = self.n[self.own].astype(np.int32)
 
     def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Codes of the pairs of rows that may be similar: of n + m runs at most a quarter differ, so three eighths of n + m
-        are common, of those from the shared run on in both and of those that the fingerprints allow."""
+        """The indices of the pairs of rows that may be similar: of n + m runs at most a quarter differ, so three eighths of
+        n + m are common, of those from the shared run on in both and of those that the fingerprints allow."""
+        both = self.size[x] + self.size[y]
+        at = np.flatnonzero(8 * np.minimum(self.left[x], self.left[y]) >= 3 * both)
+        x, y, both = x[at], y[at], both[at]
         a, b = self.own[x], self.own[y]
-        both = self.n[a] + self.n[b]
-        good = (8 * np.minimum(self.left[x], self.left[y]) >= 3 * both) & _allowed(self.flag[x], self.flag[y]) & (self.whole[a] != self.whole[b])
-        a, b = a[good], b[good]
-        code = np.unique(np.minimum(a, b) * len(self.n) + np.maximum(a, b))
-        a, b = code // len(self.n), code % len(self.n)
-        d = np.zeros(len(code), np.int64)
-        for k in range(self.bits.shape[1]):
-            d += np.bitwise_count(self.bits[a, k] ^ self.bits[b, k])
-        return code[4 * d <= self.n[a] + self.n[b]]
+        d = np.zeros(len(at), np.int32)
+        for column in self.columns:
+            d += np.bitwise_count(column[a] ^ column[b])
+        good = (4 * d <= both) & _allowed(self.flag[x], self.flag[y]) & (self.whole[a] != self.whole[b])
+        return at[good]
+
+    def codes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The pairs of classes of the pairs of rows that may be similar, each as one number."""
+        good = self.near(x, y)
+        a, b = self.own[x[good]], self.own[y[good]]
+        return np.unique(np.minimum(a, b) * len(self.n) + np.maximum(a, b))
 
     def pairs(self) -> pd.DataFrame:
         edges = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1], True]) if len(self.key) else np.zeros(1, np.int64)
@@ -246,14 +253,14 @@ class Range:
             step = max(1, PAIRS // len(i))
             for k in range(0, len(groups), step):
                 g = groups[k : k + step, None]
-                found.append(self.near((g + i).ravel(), (g + j).ravel()))
+                found.append(self.codes((g + i).ravel(), (g + j).ravel()))
         for a, s in zip(start[size > LEAF].tolist(), size[size > LEAF].tolist()):
             own = self.own[a : a + s]
             side = self.flag[a : a + s] if self.flag[a : a + s].all() else None
             hi, lo = self.bits[own, 0].view(np.int64), self.bits[own, 1].view(np.int64)
             budget = min(BITS, int(self.n[own].max()) // 2)
-            xy = np.array(trie_join(hi, lo, side, budget), np.int64).reshape(-1, 2) + a
-            found.append(self.near(xy[:, 0], xy[:, 1]))
+            xy = trie_join(hi, lo, side, budget, lambda x, y, a=a: self.near(x + a, y + a)) + a
+            found.append(self.codes(xy[:, 0], xy[:, 1]))
         code = np.unique(np.concatenate(found))
         x, y = self.whole[code // max(1, len(self.n))], self.whole[code % max(1, len(self.n))]
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
