@@ -291,3 +291,31 @@ def test_scrape_of_odd_responses(spark):
     got = {r["url"]: r for r in api.scrape(spark.createDataFrame(rows, "url string, response string, blocked boolean, tier string"), api.ScrapeOptions(max_chars=50)).collect()}
     assert len(got) == 5 and got["https://c.example/"]["content_ok"] and got["https://c.example/"]["next_offset"] == 50
     assert not got["http://127.0.0.1/"]["content_ok"] and got["http://127.0.0.1/"]["note"].startswith("blocked") and not got["https://a.example/"]["content_ok"]
+
+
+def streamed(spark, tmp_path, rows, schema, make, name, mode="append"):
+    src = str(tmp_path / f"in_{name}")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+    df = make(spark.readStream.schema(schema).parquet(src))
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"c_{name}")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return {tuple(r) for r in spark.table(name).collect()}
+
+
+def test_streamed_cooldown_is_the_batch_one(spark, tmp_path):
+    rows = [("ddg", 1, 0, True), ("ddg", 2, 599_999, False), ("ddg", 3, 600_000, False), ("bing", 4, 10, True), ("bing", 5, 119_000, True), ("bing", 6, 200_000, False), ("bing", 7, 240_000, False)]
+    schema = "engine string, id bigint, ms bigint, blocked boolean"
+    got = streamed(spark, tmp_path, rows, schema, stream_state.cooldown, "cooled")
+    batch = batch_state.cooling(spark.createDataFrame(rows, schema), "engine", "ms", "blocked", "id", batch_state.cooldown_ms(F.col("engine")))
+    assert got == {(r["engine"], r["id"], r["skip"]) for r in batch.collect()} and ("ddg", 2, True) in got and ("ddg", 3, False) in got
+
+
+def test_streamed_windows_and_first_fetches(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    rows = [("a", at(1)), ("a", at(1, 20)), ("b", at(1, 30)), ("a", at(3))]
+    schema = "url string, ts timestamp"
+    counts = streamed(spark, tmp_path, rows, schema, lambda d: stream_state.windowed(d, "ts", "url"), "counted", "complete")
+    assert {(k, n) for _, k, n in counts} == {("a", 2), ("b", 1), ("a", 1)}
+    assert {r[0] for r in streamed(spark, tmp_path, rows, schema, lambda d: stream_state.first_fetches(d, "url", "ts"), "firsts")} == {"a", "b"}
