@@ -8,8 +8,8 @@ their first n - ceil(0.6 n) + 1 and m - ceil(0.6 m) + 1 runs in it, whatever the
 sketch of fixed size (COUNTERS counters over all sets, broadcast), then by hash, so that common runs come last and groups
 stay small; a count that is too high costs nothing but that.  Only the first runs are shuffled, by ranges of their hash:
 a class sends each range its fingerprint once, with its runs there.  Classes that share a run form a sub-trie.  A class
-has a fingerprint of 512 bits, each the parity of the runs that fall on it, so two fingerprints differ in no more bits than
-their sets in runs.  The first 128 bits form a binary trie per sub-trie that is joined with itself: node pairs are
+has a fingerprint of 512 counters modulo four, in Gray code (1,024 bits), of the runs that fall on them, so two fingerprints
+differ in no more bits than their sets in runs.  The first 128 bits form a binary trie per sub-trie that is joined with itself: node pairs are
 traversed together, differing bits are added up, and a pair is left as soon as they exceed a quarter of the runs of both,
 the most that the similarity allows.  The other bits, sizes and the places of the shared run bound the overlap further,
 exactly too.
@@ -36,7 +36,7 @@ from .body import Bodies
 from .common import cut
 
 RUN, SIMILARITY, MIN_WORDS = 3, 0.6, 50
-BITS, FINGERPRINT = 128, 512
+BITS, COUNTERS_OF_SET, FINGERPRINT = 128, 512, 1024
 BLOCK, LEAF = 4096, 512
 #: Counters of the sketch and of one of its rows.
 COUNTERS, PART = 1 << 20, 1 << 15
@@ -79,7 +79,9 @@ class Shingles:
 def signature(runs: np.ndarray) -> tuple[bytes, int]:
     """(fingerprint, hash of the whole set)."""
     with np.errstate(over="ignore"):
-        bits = np.bincount((runs >> np.uint64(55)).astype(np.int64), minlength=FINGERPRINT) & 1
+        count = np.bincount((runs >> np.uint64(55)).astype(np.int64), minlength=COUNTERS_OF_SET) & 3
+        # in Gray code one run more or less changes one bit
+        bits = np.concatenate([(count ^ (count >> 1)) & 1, count >> 1])
         whole = mix(runs).sum(dtype=np.uint64) ^ mix(runs * P3).sum(dtype=np.uint64) * P1
     return np.packbits(bits.astype(np.uint8)).tobytes(), int(np.int64(whole.astype(np.int64)))
 
@@ -232,8 +234,11 @@ class Range:
         x, y, both = x[at], y[at], both[at]
         a, b = self.own[x], self.own[y]
         d = np.zeros(len(at), np.int32)
-        for column in self.columns:
-            d += np.bitwise_count(column[a] ^ column[b])
+        for half in (self.columns[: len(self.columns) // 2], self.columns[len(self.columns) // 2 :]):
+            for column in half:
+                d += np.bitwise_count(column[a] ^ column[b])
+            keep = np.flatnonzero(4 * d <= both)
+            at, x, y, a, b, d, both = (v[keep] for v in (at, x, y, a, b, d, both))
         good = (4 * d <= both) & _allowed(self.flag[x], self.flag[y]) & (self.whole[a] != self.whole[b])
         return at[good]
 
