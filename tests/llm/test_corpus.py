@@ -207,6 +207,42 @@ def test_words_by_their_hashes(spark):
     assert "straße" in w and "был" in w and "brücke" not in w and "x" not in garbled.Words(h[:0])
 
 
+def test_languages_count_over_all_pages(spark, tmp_path):
+    n, ru = 8000, "После дождя мастер осмотрел старый колодец и записал результат работы."
+    en = "The lamp was in the garden and it was old, so the mason took it to the house of the miller. " * 3
+    ids = spark.range(n).withColumnRenamed("id", "scrape_id").withColumn("last", F.xxhash64("scrape_id") > F.lit(int((1 << 63) * 0.9)))
+    pages = ids.select("scrape_id", F.when(F.col("last"), F.lit("\n".join([ru] * 4))).otherwise(F.lit(en)).alias("markdown"), F.lit("t").alias("title"))
+    assert 100 < ids.filter("last").count() < 1000
+    pages.write.parquet(f"{tmp_path}/scrape_results.parquet")
+    bad = ru.encode().decode("cp1252", "replace")
+    hits = [(1, "мастер записал результат".encode().decode("latin-1")), (2, "мастер записал результат"), (3, "мастер записал".encode("koi8-r").decode("cp1251")), (4, bad), (5, None)]
+    spark.createDataFrame(hits, "hit_id bigint, snippet string").write.parquet(f"{tmp_path}/search_hits.parquet")
+    common = [("en", w) for w in "the was in and it so to of".split()] + [("ru", w) for w in "и после в на".split()]
+    spark.createDataFrame(common, "lang string, word string").write.parquet(f"{tmp_path}/common_words.parquet")
+    texts, known, letters = garbled.samples(spark, str(tmp_path))
+    assert set(texts) == {"en", "ru"} and texts["ru"].split()[-1] in ru and "колодец" in known and "ж" in letters
+    assert all(len(x.encode()) <= garbled.DICT_BYTES for x in texts.values())
+    got = {r["rec_id"]: r["restored"] for r in garbled.restored(spark, str(tmp_path)).collect()}
+    assert got == {1: "мастер записал результат", 3: "мастер записал", 4: None}
+
+
+def test_garbled_lines_and_long_strings_do_not_count(spark):
+    common = {"en": set("the was in and it".split()), "ru": set("и на".split())}
+    good = "The lamp was in the garden and it was a naïve one."
+    lines = [good, "The lamp was in the garden and it was old.\u00d4\u00c7\u00aa", "The lamp was in the gдrden and it was an old one.", "The " + "x" * 40_000 + " was in the garden and it was old"]
+    df = spark.createDataFrame([("\n".join(lines),)] * 3 + [(None,), ("",)], "markdown string")
+    counts = garbled.counted(df, common)
+    got = {(r["kind"], r["w"]): r["n"] for r in counts.collect()}
+    assert got["known", "naïve"] == got["letter", "ï"] == 3 and got["part", "one."] == 3 and got["part", "garden"] == 6
+    assert not any("\u00aa" in w or "д" in w for _, w in got)
+    assert "garden" in garbled.frequent(counts, "en").split() and "xxx" not in garbled.frequent(counts, "en")
+
+
+def test_ends_of_lines_weigh_as_much_as_middles():
+    words = "whole family told that reed organ been wooden since spring lamp garden goat came with road take rack leave heat pump home water light stone bridge paper river letter music"
+    assert garbled.Restorer({"en": words}).text("garden garden\u201a\u00c4\u00b6") == (True, "garden garden\u2026")
+
+
 # ---------------------------------------------------------------- page rules
 
 
